@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import linededup, urlfilter
+from rankwell.llm import linededup, sharding, simhash, urlfilter
 
 #: Host rules of the URL filter and the sites whose pages make up the list of URLs; fixed values.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of eight equal shards, and in one of nine."""
+    return sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 8)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL: rules first, then the list of canonical URLs of listed sites."""
     pages = table(spark, sf_dir, "pages")
@@ -77,7 +88,12 @@ FROM documents LEFT JOIN per_host ON source = host
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_url_filter": op4_url_filter, "op9_line_dedup": op9_line_dedup}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_sharding": op2_sharding,
+        "op4_url_filter": op4_url_filter,
+        "op9_line_dedup": op9_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
