@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import linededup, sharding, simhash, urlfilter
+from rankwell.llm import licenses, linededup, sharding, simhash, urlfilter
 
 #: Host rules of the URL filter and the sites whose pages make up the list of URLs; fixed values.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -29,6 +29,32 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 8)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _op3_sql() -> str:
+    """Containment in the same windows, of shingle texts and without signatures."""
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+    clean = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'))"
+    shingles = """CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END"""
+    return f"""
+WITH t0 AS (SELECT license, CASE WHEN c = '' THEN [] ELSE string_split(c, ' ') END AS w FROM (SELECT license, {clean} AS c FROM (VALUES {values}) AS v(license, text))),
+t AS (SELECT license, len(hs) AS n, CAST(pow(2, ceil(log2(len(hs)))) AS BIGINT) AS stride, hs FROM (SELECT license, list_distinct({shingles}) AS hs FROM t0) WHERE len(hs) > 0),
+ts AS (SELECT license, n, stride, unnest(hs) AS s FROM t),
+d0 AS (SELECT doc_id, text, CASE WHEN c = '' THEN [] ELSE string_split(c, ' ') END AS w FROM (SELECT doc_id, text, {clean} AS c FROM documents)),
+d1 AS (SELECT doc_id, text, {shingles} AS hs FROM d0),
+d AS (SELECT doc_id, text, unnest(hs) AS s, generate_subscripts(hs, 1) - 1 AS pos FROM d1),
+hits AS (SELECT doc_id, text, license, n, stride, s, pos FROM d JOIN ts USING (s)),
+wins AS (SELECT *, pos // stride * stride AS start FROM hits UNION ALL SELECT *, (pos // stride - 1) * stride AS start FROM hits WHERE pos >= stride),
+share AS (SELECT doc_id, text, license, start, count(DISTINCT s)::DOUBLE / any_value(n) AS containment FROM wins GROUP BY 1, 2, 3, 4)
+SELECT doc_id, license, containment, start::INTEGER AS first_word FROM share WHERE containment >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, text, license ORDER BY containment DESC, start) = 1
+"""
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL: rules first, then the list of canonical URLs of listed sites."""
     pages = table(spark, sf_dir, "pages")
@@ -91,10 +117,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_sharding": op2_sharding,
+        "op3_license_scan": op3_license_scan,
         "op4_url_filter": op4_url_filter,
         "op9_line_dedup": op9_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op3_license_scan": _op3_sql(), "op4_url_filter": OP4_SQL, "op9_line_dedup": OP9_SQL}
