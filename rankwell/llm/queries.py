@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import licenses, linededup, sharding, simhash, urlfilter
+from rankwell.llm import bpe, decontam, licenses, linededup, sharding, simhash, urlfilter
 
 #: Host rules of the URL filter and the sites whose pages make up the list of URLs; fixed values.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -89,6 +89,54 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(d, counts=True)
 
 
+def vocabulary_path() -> str:
+    """The public vocabulary file that the production queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document's text and of what they decode to."""
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage that holds a benchmark item, whose last sentence is taken as its answer."""
+    question, answer = decontam.split_answer(F.col("text"))
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), question, answer)
+
+
+#: Items i (item_id, q, a: word lists; w: both; c: class size; hs: shingles) and their matches in {docs} with columns row, text.
+DECONTAM_SQL = r"""
+ i0 AS (SELECT item_id, text, regexp_extract(text, '(?s)^.*[.?!]\s+(.+)$', 1) AS ans FROM benchmark),
+ i1 AS (SELECT item_id, CASE WHEN ans = '' THEN text ELSE left(text, length(text) - length(ans)) END AS question, ans FROM i0),
+ i2 AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(question), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS q,
+   list_filter(string_split(regexp_replace(lower(ans), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS a FROM i1),
+ i3 AS (SELECT *, list_concat(q, a) AS w FROM i2),
+ i AS (SELECT *, CAST(greatest(8, pow(2, ceil(log2(len(w))))) AS BIGINT) AS c,
+   list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS hs FROM i3 WHERE len(w) >= 5),
+ ish AS (SELECT item_id, c, unnest(hs) AS s FROM i),
+ dw AS (SELECT row, list_filter(string_split(regexp_replace(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM ({docs})),
+ dsh AS (SELECT row, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s, unnest(range(0, len(w) - 4)) AS pos FROM dw),
+ hit AS (SELECT row, item_id, c, s, pos FROM dsh JOIN ish USING (s)),
+ win AS (SELECT row, item_id, c, s, pos // c * c AS start FROM hit UNION ALL
+   SELECT row, item_id, c, s, (pos // c - 1) * c FROM hit WHERE pos >= c AND pos + 5 <= (pos // c + 1) * c),
+ cand AS (SELECT row, item_id, c, start, count(DISTINCT s) AS n FROM win GROUP BY ALL),
+ part AS (SELECT row, item_id, n / len(hs) AS overlap,
+   len(list_intersect(list_distinct(q), dw.w[start + 1:start + 2 * i.c])) / greatest(1, len(list_distinct(q))) AS question_overlap,
+   CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct(a), dw.w[start + 1:start + 2 * i.c])) / len(list_distinct(a)) END::DOUBLE AS answer_overlap
+   FROM cand JOIN i USING (item_id) JOIN dw USING (row) WHERE n / len(hs) >= 0.8),
+ held AS (SELECT * FROM part WHERE question_overlap >= 0.5 AND answer_overlap >= 0.5
+   QUALIFY row_number() OVER (PARTITION BY row, item_id ORDER BY overlap DESC, question_overlap DESC, answer_overlap DESC) = 1)"""
+
+OP10_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS row, * FROM documents),"
+    + DECONTAM_SQL.format(docs="SELECT row, text FROM d")
+    + " SELECT doc_id, item_id, overlap, question_overlap, answer_overlap FROM held JOIN d USING (row)"
+)
+
+
 LINE_DEDUP_SQL = r"""
  page_lines AS (
   SELECT source AS host, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D\x20]')))) AS line
@@ -119,9 +167,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_license_scan": op3_license_scan,
         "op4_url_filter": op4_url_filter,
+        "op6_bpe": op6_bpe,
         "op9_line_dedup": op9_line_dedup,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": _op3_sql(), "op4_url_filter": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op3_license_scan": _op3_sql(), "op4_url_filter": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
