@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import bpe, decontam, licenses, linededup, sharding, simhash, urlfilter
+from rankwell.llm import bpe, decontam, langid, licenses, linededup, sharding, simhash, urlfilter
 
 #: Host rules of the URL filter and the sites whose pages make up the list of URLs; fixed values.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -101,6 +101,21 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def piece_path() -> str:
+    """The public vocabulary whose pieces language identification uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_on(docs, piece_path())
+    out = docs.select("doc_id", langid.held_out().alias("held_out"), langid.predict(model, docs).alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a passage that holds a benchmark item, whose last sentence is taken as its answer."""
     question, answer = decontam.split_answer(F.col("text"))
@@ -168,6 +183,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op4_url_filter": op4_url_filter,
         "op6_bpe": op6_bpe,
+        "op8_language_id": op8_language_id,
         "op9_line_dedup": op9_line_dedup,
         "op10_decontaminate": op10_decontaminate,
     }
