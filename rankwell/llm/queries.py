@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import bpe, decontam, langid, licenses, linededup, sharding, simhash, urlfilter
+from rankwell.llm import bpe, decontam, langid, licenses, linededup, quality, sharding, simhash, urlfilter
 
 #: Host rules of the URL filter and the sites whose pages make up the list of URLs; fixed values.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -96,6 +96,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, strata by its language."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document's text and of what they decode to."""
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
@@ -182,6 +187,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_license_scan": op3_license_scan,
         "op4_url_filter": op4_url_filter,
+        "op5_quality": op5_quality,
         "op6_bpe": op6_bpe,
         "op8_language_id": op8_language_id,
         "op9_line_dedup": op9_line_dedup,
