@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Chunks, and words, whose ids a worker keeps; a table starts afresh when it is full.
+#: Chunks, and words, whose ids a worker keeps: twice this number at most.
 CACHE = 200_000
 #: Unicode's White_Space, fixed values.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -43,6 +43,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
+def chunks(text: str) -> list[str]:
+    """What stands between white space; empty strings may be among it."""
+    return _SPACE_RUN.split(text) if _ODD.search(text) else text.split()
+
+
 class Bpe:
     """A vocabulary file of the kind above, read once a worker."""
 
@@ -124,8 +129,7 @@ class Bpe:
         """The ids of a whole text, as unsigned 32-bit numbers."""
         if not text:
             return array("I")
-        chunks = _SPACE_RUN.split(text) if _ODD.search(text) else text.split()
-        return array("I", chain.from_iterable(map(self.known.__getitem__, chunks)))
+        return array("I", chain.from_iterable(map(self.known.__getitem__, chunks(text))))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The vocabulary's strings, with a space between any two as the file has no decoder of its own."""
@@ -133,15 +137,18 @@ class Bpe:
 
 
 class _Kept(dict):
-    """Texts of up to 64 characters and their ids, made when first asked for."""
+    """Texts of up to 64 characters and their ids, made when first asked for. When full it becomes the older half, from which what is still in use returns."""
 
     def __init__(self, make: Callable[[str], tuple[int, ...]]):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.make(text)
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        ids = self.make(text)
         if len(text) <= 64:
             self[text] = ids
         return ids

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import bpe, decontam, langid, licenses, linededup, quality, sharding, simhash, urlfilter
+from rankwell.llm import bpe, decontam, langid, licenses, linededup, quality, sharding, simhash, tokenfiles, urlfilter
 
 #: Host rules of the URL filter and the sites whose pages make up the list of URLs; fixed values.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -106,6 +106,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+#: The id that ends each document in the token files.
+END_ID = 1
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read from the token files."""
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), vocabulary_path(), END_ID)
+
+
 def piece_path() -> str:
     """The public vocabulary whose pieces language identification uses."""
     import public_tokenizers
@@ -189,6 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filter": op4_url_filter,
         "op5_quality": op5_quality,
         "op6_bpe": op6_bpe,
+        "op7_token_files": op7_token_files,
         "op8_language_id": op8_language_id,
         "op9_line_dedup": op9_line_dedup,
         "op10_decontaminate": op10_decontaminate,
