@@ -1,0 +1,346 @@
+"""The training-data operators against brute force, and their defined results in odd cases."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from rankwell.llm import bpe, decontam, langid, licenses, linededup, quality, sharding, simhash, tokenfiles, urlfilter
+from rankwell.llm.components import components
+from rankwell.llm.queries import piece_path, vocabulary_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, host string"
+
+
+def docs(spark, rows):
+    """Documents with columns whose names clash with names the operators use inside."""
+    return spark.createDataFrame([(i, t, lang, src, 0, "k", "f", "h") for i, t, lang, src in rows], DOCS)
+
+
+def odd(spark):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "der", "die", "und", "nicht"]
+    text = " ".join(rng.choice(words) for _ in range(60))
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, text + " tail", "en", "a"), (3, None, None, None), (None, text, "de", "b"), (4, "", "en", "a"), (5, " \n\t ", "en", "b"), (6, "x" * 200_000, "en", "b"), (7, "123 456 !!", "de", "a")]
+    return docs(spark, rows)
+
+
+def brute_fingerprint(text, n=4):
+    words = ("" if text is None else text).encode().lower().split()
+    if not words:
+        return 0
+    grams = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints):
+    """prints: id to fingerprint; the smallest id that links reach."""
+    ids, low = sorted(prints), {i: i for i in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in ids:
+            for b in ids:
+                if (prints[a] ^ prints[b]).bit_count() <= 4 and low[a] < low[b]:
+                    low[b], changed = low[a], True
+    return low
+
+
+def near_texts(seed=1, groups=6, copies=12):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    out = []
+    for _ in range(groups):
+        base = [rng.choice(vocab) for _ in range(150)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            out.append(" ".join(w))
+    return out
+
+
+def test_simhash_equals_brute_force(spark):
+    rows = [(i + 10, t, "en", "s") for i, t in enumerate(near_texts())] + [(1, None, "en", "s"), (2, "", "en", "s"), (3, "One two", "en", "s"), (4, "one TWO", "en", "s")]
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    prints = {i: brute_fingerprint(t) for i, t, _, _ in rows}
+    want = brute_components(prints)
+    assert {i: r.fp & (1 << 64) - 1 for i, r in got.items()} == prints
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert want[2] == 1 and want[4] == 3 and len(set(want.values())) < len(want)
+
+
+@pytest.mark.parametrize("cell", [3, 4096])
+def test_crowded_cells_lose_no_link(spark, monkeypatch, cell):
+    """Chains around one centre, with cells compared at once or by midpoints."""
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    prints = {}
+    for i in range(120):
+        x = base
+        for b in rng.sample(range(64), rng.randint(0, 7)):
+            x ^= 1 << b
+        prints[i] = x
+    monkeypatch.setattr(simhash, "CELL", cell)
+    uniq = {}
+    for i, f in prints.items():
+        uniq.setdefault(f, i)
+    signed = [(f - (1 << 64) if f >> 63 else f, i) for f, i in uniq.items()]
+    nodes = spark.createDataFrame(signed, "fp long, node long").coalesce(1)
+    if cell == 3:  # in this process, where the smaller bound holds
+        import pyarrow as pa
+
+        cells = [b for b in simhash._to_cells(iter([pa.RecordBatch.from_pydict({"fp": pa.array([f for f, _ in signed]), "node": pa.array([i for _, i in signed])})]))]
+        t = pa.Table.from_batches(cells).sort_by("cell")
+        out = pa.Table.from_batches(list(simhash._cell_links(iter(t.to_batches(max_chunksize=37))))).to_pylist()
+        crowded = {(r["a"], r["fp"]) for r in out if r["b"] is None}
+        assert crowded
+        mids = pa.Table.from_batches(list(simhash._midpoints(iter([pa.RecordBatch.from_pydict({"node": pa.array([n for n, _ in crowded]), "fp": pa.array([f for _, f in crowded])})])))).to_pylist()
+        low = {}
+        for r in mids:
+            low[r["mid"]] = min(low.get(r["mid"], r["node"]), r["node"])
+        links = [(r["a"], r["b"]) for r in out if r["b"] is not None] + [(r["node"], low[r["mid"]]) for r in mids]
+        links = spark.createDataFrame([x for x in set(links) if x[0] != x[1]], "a long, b long")
+    else:
+        links = simhash.fingerprint_links(nodes)
+    got = {r.node: r.component for r in components(links).collect()}
+    want = brute_components({i: f for f, i in uniq.items()})
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(50)] + [(7, 7)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    low = {x: x for l in links for x in l}
+    for _ in range(400):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    assert got == {x: c for x, c in low.items() if any(x in l and l[0] != l[1] for l in links)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one(spark):
+    d = odd(spark)
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(1) == 1 and 2 not in ids and 3 in ids and 4 not in ids and None in ids
+    assert simhash.keep_one(d.limit(0)).count() == 0
+
+
+def test_sharding(spark):
+    d = docs(spark, [(i, "t" * (i % 9) if i % 11 else None, "en", "s") for i in range(3000)] + [(5, "again", "en", "s"), (None, "x", "en", "s")])
+    rows = sharding.shard(d, [1.0] * 8).collect()
+    assert len(rows) == 3002
+    for s in range(8):
+        own = sorted(r.slot for r in rows if r["shard"] == s)
+        assert own == list(range(len(own))) and 250 < len(own) < 500
+    assert all(r.grown_shard in (r["shard"], 8) for r in rows) and 200 < sum(r.grown_shard == 8 for r in rows) < 470
+    null = next(r for r in rows if r.doc_id == 0)
+    assert (null["size"], null.text_crc32) == (1, 0)
+    some = next(r for r in rows if r.doc_id == 17)
+    assert (some["size"], some.text_crc32) == (9, zlib.crc32(b"t" * 8))
+    heavy = Counter(r["shard"] for r in sharding.shard(d, [3.0, 1.0]).collect())
+    assert 2.5 < heavy[0] / heavy[1] < 3.6
+    assert sharding.shard(d.limit(0), [1.0] * 8).count() == 0
+
+
+def test_license_scan(spark):
+    mit = licenses.TEMPLATES["MIT-text"]
+    cut_short = " ".join(mit.split()[:40])
+    long = "lorem ipsum dolor " * 400
+    rows = [(1, f"{long} {mit} {long}", "en", "s"), (2, f"Released under the MIT license!\n{long}", "en", "s"), (3, None, "en", "s"), (4, "", "en", "s"), (5, cut_short, "en", "s"), (6, "the MIT License", "en", "s"), (2, f"Released under the MIT license!\n{long}", "en", "s"), (7, long, "en", "s")]
+    got = {(r.doc_id, r.license): r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert set(got) == {(1, "MIT-text"), (2, "MIT")}
+    assert got[1, "MIT-text"].containment == 1.0 and got[2, "MIT"].first_word == 0
+    assert licenses.collision_probability(0.19) > 0.999998
+    assert licenses.scan(docs(spark, []), {"x": "a b", "none": "!!"}).count() == 0
+
+
+def test_url_filter(spark):
+    urls = ["https://A.Example.NET/en/1", "http://example.net", "http://x.example.com/de/a?b", "http://q.org/fr/1#c", "http://bad.org/p/", "http://bad.org/p", "http://bad.org/p/q", "nothing", None, "", "http://badexample.net.org/x", "http://net/", "http://kinternet/"]
+    pages = spark.createDataFrame([(i, u, "k", True) for i, u in enumerate(urls)], "page_id long, url string, host string, listed boolean")
+    listed = spark.createDataFrame([("bad.org/p",), ("bad.org/p",), (None,), ("other.org/z",)], "key string")
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, listed, rules).collect()}
+    want = [("example.net/en/", "allow"), (None, "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), (None, "block"), (None, "block"), (None, "allow")] + [(None, "allow")] * 4 + [("net/", "block"), (None, "allow")]
+    assert got == dict(enumerate(want))
+    empty = urlfilter.judge(pages, listed.limit(0), {})
+    assert empty.count() == len(urls) and empty.filter("verdict = 'block'").count() == 0
+
+
+def test_bloom_has_no_false_negatives(spark):
+    keys = spark.range(5000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"))
+    words = {r.block: r.word for r in urlfilter.blocked_bloom(keys, 1250).collect()}
+    probe = spark.range(10000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"), "id").select("id", urlfilter._block(F.col("key"), 1250).alias("b"), urlfilter._mask(F.col("key")).alias("m")).collect()
+    hit = [words.get(r.b, 0) & r.m == r.m for r in sorted(probe)]
+    assert all(hit[:5000]) and sum(hit[5000:]) < 500
+
+
+def brute_repeated(words, width=8):
+    c = Counter(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+    cover = {j for i in range(len(words) - width + 1) if c[tuple(words[i : i + width])] > 1 for j in range(i, i + width)}
+    return len(cover)
+
+
+def test_quality_measures():
+    rng = random.Random(1)
+    for n in (0, 1, 7, 8, 9, 40, 400):
+        words = [rng.choice([b"a", b"b"]) for _ in range(n)]
+        assert quality.repeated(words) == brute_repeated(words)
+    assert quality.measure("a# b\n\na# b\n c<é>\n") == (5, 10, 4, 1, 0)
+    assert quality.measure(None) == quality.measure("") == (0, 0, 0, 0, 0)
+
+
+def test_certified_bound():
+    from itertools import accumulate
+    from math import comb
+
+    for n, k in ((50, 0), (300, 2), (300, 0)):
+        tail = list(accumulate(comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)))[-1]
+        assert quality.certified(n, k, 0.02, 0.05) == (tail <= 0.05)
+    assert not quality.certified(0, 0, 0.02, 0.05)
+
+
+def test_quality_keeps_good(spark):
+    rng = random.Random(4)
+    good = [(i, " ".join(f"word{rng.randrange(3000)}" for _ in range(60)), "en", "s") for i in range(3000)]
+    bad = [(5000 + i, " ".join(f"w{rng.randrange(3000)}###" for _ in range(60)), "en", "s") for i in range(200)]
+    d = docs(spark, good + bad + [(9000, None, None, "s"), (9001, "", "en", "s")])
+    labels = spark.createDataFrame([(i, 1) for i in range(3000)] + [(5000, 0), (5000, 1), (77777, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judge(d, labels).collect()}
+    assert all(got[i].kept for i in range(3000)) and not any(got[5000 + i].kept for i in range(200))
+    assert got[9000].base_failed and not got[9001].kept
+    few = {r.doc_id: r for r in quality.judge(d, labels.limit(5)).collect()}
+    assert few[5001].kept  # nothing is certified by five documents
+
+
+def test_bpe_equals_library(spark):
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(vocabulary_path()), bpe.Bpe(vocabulary_path())
+    rng = random.Random(6)
+    signs = [*"abcsSéÉΣσ'’ \n\t\x1c\x85\xa0​İǰ̌JΑΟ12½三かЖ!?#<|>_-.\U0001F600", "<|endoftext|>", "<|startoftext|>", "'ll", "don't"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["aa" * 5000, "x1" * 3000]
+    enc = tokenfiles.Encoder(vocabulary_path())
+    for t in texts:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert own.encode(t).tolist() == ids, t
+        assert np.frombuffer(enc.encode(t), dtype=np.int32).tolist() == ids, t
+        assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_frames(spark):
+    d = odd(spark)
+    rows = bpe.digests(d, vocabulary_path()).collect()
+    assert len(rows) == 9 and [r.n_tokens for r in rows if r.doc_id in (3, 4, 5)] == [0, 0, 0]
+    again = bpe.decode(bpe.encode(d, vocabulary_path()), vocabulary_path())
+    assert again.filter("doc_id = 4").first()["decoded"] == ""
+    assert bpe.digests(d.limit(0), vocabulary_path()).count() == 0
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_files(spark, tmp_path, monkeypatch, encoding):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path())
+    monkeypatch.setattr(tokenfiles, "FILE_BYTES", 2000)
+    d = docs(spark, [(i * 3 % 101, f"some words {i} and more {'x' * i}" if i % 7 else None, "en", "s") for i in range(101)] + [(None, "none", "en", "s"), (4, "again", "en", "s")])
+    out = f"file://{tmp_path}/t"
+    tokenfiles.write(d, out, vocabulary_path(), 1, encoding=encoding)
+    found = tokenfiles.with_starts(tokenfiles.checksums(tokenfiles.tokens(spark, out))).orderBy("start").collect()
+    want, at = [], 0
+    texts = sorted(((r.doc_id if r.doc_id is not None else -1, r.text) for r in d.collect()), key=lambda x: x[0])
+    for i, t in texts:
+        ids = lib.encode(t or "", add_special_tokens=False).ids + [1]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        at += len(ids)
+    got = [(-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found]
+    assert [g[0] for g in got] == [w[0] for w in want] and sum(g[2] for g in got) == at
+    assert sorted(g[3] for g in got) == sorted(w[3] for w in want)
+    assert [g[1] for g in got] == [sum(x[2] for x in got[:k]) for k in range(len(got))]
+    part = tokenfiles.tokens(spark, out, 10, 12)
+    assert sorted(r.doc_id for r in part.collect()) == [10, 11, 12]
+    assert tokenfiles.lengths(spark, out).agg(F.sum("n_tokens")).first()[0] == at
+    assert tokenfiles.round_trip(d.limit(0), vocabulary_path(), 1).count() == 0
+
+
+def test_language_forward_sums_all_segmentations():
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab"]
+    prob = np.array([[0.2], [0.1], [0.3], [0.15], [0.05], [0.2], [1e-7]])
+    known = langid.Pieces(pieces)
+    p = dict(zip(pieces, prob[:, 0]))
+
+    def brute(w):
+        return 1.0 if not w else sum(p[w[:k]] * brute(w[k:]) for k in range(1, len(w) + 1) if w[:k] in p)
+
+    words = ["a", "ab", "abab", "ba"]
+    assert np.allclose(np.exp(langid.forward(known, prob, words))[:, 0], [brute("▁" + w) for w in words])
+    count = langid.expected(known, prob[:, 0], ["a"], np.array([2.0]))
+    both = p["▁a"] + p["▁"] * p["a"]
+    assert np.allclose(count[[0, 1, 2]], [2 * p["▁"] * p["a"] / both, 2 * p["▁a"] / both, 2 * p["▁"] * p["a"] / both])
+
+
+def test_language_id(spark):
+    en, de = "the house and the garden with water are nice".split(), "das haus und der garten mit wasser sind nicht".split()
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(en if i % 2 else de) for _ in range(8)), "en" if i % 2 else "de", "s") for i in range(400)]
+    d = docs(spark, rows + [(1000, None, "en", "s"), (1001, "123 !?", None, "s"), (1002, "", "de", "s"), (None, "the water", None, "s")])
+    model = langid.fit_on(d, piece_path())
+    got = d.select("doc_id", "lang", langid.held_out().alias("h"), langid.predict(model, d).alias("p")).select("doc_id", "lang", "h", "p.*").collect()
+    held = [r for r in got if r.h and r.doc_id is not None and r.doc_id < 1000]
+    assert len(held) > 80 and all(r.lang == r.lang_pred and 0 <= r.score <= 1 for r in held)
+    assert {r.lang_pred for r in got if r.doc_id in (1000, 1001, 1002)} == {"und"}
+    none = langid.fit_on(d.limit(0), piece_path())
+    assert d.select(langid.predict(none, d).alias("p")).filter("p.lang_pred <> 'und'").count() == 0
+    assert langid.words("Été, l'eau2x " + "a" * 100) == ["été", "l", "eau", "x", "a" * 48, "a" * 48, "aaaa"]
+
+
+def test_line_dedup(spark):
+    rows = [(i, f"menu\nbody {i}\nmenu\n\nfooter {i % 2}", "en", "a") for i in range(10)] + [(20, "menu\nx", "en", None), (21, None, "en", "a"), (22, "", "en", "a"), (23, "menu", "en", "b")]
+    d = docs(spark, rows)
+    out = {r.doc_id: r for r in linededup.drop_boilerplate(d, percent=50, counts=True).collect()}
+    assert out[0].text == "body 0\n\nfooter 0" and out[0].n_lines == 5 and out[0].n_dropped == 2
+    assert out[20].text == "menu\nx" and out[21].text is None and out[21].n_lines == 0 and out[22].text == "" and out[23].text == "menu"
+    assert linededup.drop_boilerplate(d, percent=50).columns == d.columns
+    assert linededup.drop_boilerplate(d.limit(0)).count() == 0
+
+
+def contamination(spark, rows, items):
+    i = spark.createDataFrame(items, "item_id long, text string")
+    q, a = decontam.split_answer(F.col("text"))
+    return {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs(spark, rows), i, q, a).collect()}
+
+
+def test_decontamination(spark, monkeypatch):
+    rng = random.Random(9)
+    vocab = [f"t{i}" for i in range(500)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(12, 70))) + ". " + " ".join(rng.choice(vocab) for _ in range(4))) for k in range(60)] + [(100, "Two words"), (101, None), (102, ""), (5, "another text of item five for the test set")]
+    filler = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    rows = [(k, f"{filler(rng.randint(0, 300))} {items[k][1].upper()}*** {filler(100)}", "en", "s") for k in range(60)]
+    rows += [(200, filler(5000), "en", "s"), (201, None, "en", "s"), (202, "", "en", "s"), (203, "say two, words now", "en", "s"), (None, items[7][1], "en", "s")]
+    half = items[8][1].split()
+    rows += [(204, " ".join(half[: len(half) // 2]), "en", "s")]
+    changed = items[9][1].split()
+    changed[len(changed) // 2] = "zzz"
+    rows += [(205, f"{filler(40)} {' '.join(changed)}", "en", "s")]
+    got = contamination(spark, rows, items)
+    assert {(k, k) for k in range(60)} <= set(got) and (203, 100) in got and (None, 7) in got
+    assert not {k for k, _ in got} & {200, 201, 202, 204}
+    matcher = decontam.Matcher([(i, t, None) for i, t in items if t])
+    for index in matcher.indexes:  # block-max WAND finds what scoring every item finds
+        for _ in range(50):
+            base = set(index.items[rng.randrange(len(index.items))][1]) | {rng.randrange(1, 500) for _ in range(40)}
+            score = lambda n: sum(g for t in base if t in index.postings for i, g in zip(*index.postings[t][:2]) if i == n)
+            assert sorted(index.retrieve(base)) == [n for n in range(len(index.items)) if score(n) >= index.least]
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 2000)
+    assert set(contamination(spark, rows, items)) == set(got)
+    assert contamination(spark, rows, []) == {}
