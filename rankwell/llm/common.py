@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Largest table, in bytes of payload, that an operator sends to every executor.
-BROADCAST_BYTES = 32 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+from rankwell.sources.shared import cut, new_path, shared_dir
 
+__all__ = ["BROADCAST_BYTES", "cut", "fits", "join_small", "new_path", "shared_dir"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/rankwell/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Largest table, in bytes of payload, that an operator sends to every executor.
+BROADCAST_BYTES = 32 << 20
 
 
 def fits(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> bool:

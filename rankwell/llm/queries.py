@@ -29,6 +29,26 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 8)
 
 
+def _op2_sql() -> str:
+    """Rendezvous shards by the same MD5; CRC-32 byte by byte over the table of its polynomial."""
+    crcs = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        crcs.append(c)
+    near = "-ln((('0x' || substr(md5(doc_id::VARCHAR || ':' || s), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT row, s, {near} AS d FROM t, (SELECT unnest(range(0, 9))::INTEGER AS s)),
+p AS (SELECT row, arg_min(s, (d, s)) FILTER (s < 8) AS shard, arg_min(s, (d, s)) AS grown_shard FROM d GROUP BY 1),
+c AS (SELECT row, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT),
+   lambda a, b: xor(a >> 8, list_extract(CAST({crcs} AS BIGINT[]), (xor(a, b) & 255) + 1)), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM t)
+SELECT doc_id, (octet_length(encode(text)) + 1)::BIGINT AS size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, grown_shard
+FROM t JOIN p USING (row) JOIN c USING (row)
+"""
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -101,6 +121,37 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op5_sql() -> str:
+    """The same counts, bounds and cutoffs. The binomial tail is summed over all terms."""
+    grid = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in quality.GRIDS.items() for c in cs)
+    size, rules = sum(map(len, quality.GRIDS.values())), len(quality.GRIDS)
+    limit = quality.RISK / rules
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, doc_id, stratum, text, regexp_extract_all(text, '[^\x09-\x0D\x20]+') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D\x20]')) AS lines FROM t),
+g AS (SELECT row, i, array_to_string(w[i:i + 7], chr(1)) AS g FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS c FROM g) WHERE c > 1),
+cover AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY 1),
+m AS (SELECT row, doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN cover USING (row)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+r AS (SELECT row, doc_id, stratum, base_failed, unnest(['symbol_ratio', 'word_length', 'short_words', 'dup_line_ratio', 'repeat_ratio']) AS rule,
+  unnest(CASE WHEN n_words = 0 THEN [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] ELSE [n_symbols / n_words, word_chars / n_words, n_words / greatest(word_chars, 1), n_dup_lines / n_words, n_repeat_words / n_words] END) AS ratio FROM b),
+grid(rule, cutoff) AS (VALUES {grid}),
+good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) >= 1),
+c AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (ratio > cutoff) AS k FROM r SEMI JOIN good USING (doc_id) JOIN grid USING (rule) WHERE NOT base_failed GROUP BY 1, 2, 3),
+s AS (SELECT greatest(1, count(DISTINCT stratum)) * {size} AS tests FROM c),
+cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM c, s WHERE k < n * {limit!r} AND
+  list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({limit!r}::DOUBLE) + (n - i) * ln(1 - {limit!r}::DOUBLE)))) <= {quality.ERROR!r} / tests
+  GROUP BY 1, 2),
+rejected AS (SELECT DISTINCT row FROM r JOIN cut USING (stratum, rule) WHERE ratio > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected.row IS NULL AS kept
+FROM b LEFT JOIN rejected USING (row)
+"""
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document's text and of what they decode to."""
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
@@ -206,4 +257,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": _op3_sql(), "op4_url_filter": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_sharding": _op2_sql(), "op3_license_scan": _op3_sql(), "op4_url_filter": OP4_SQL, "op5_quality": _op5_sql(), "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
