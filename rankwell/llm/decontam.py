@@ -40,7 +40,7 @@ RANGES = 32
 #: Words of documents that are matched together.
 TOGETHER = 50_000
 #: Bytes of items in one index; more items are queried in parts of that size.
-INDEX_BYTES = 8 << 20
+INDEX_BYTES = 2 << 20
 #: Everything in ASCII but a-z and 0-9 separates words; texts are lower-cased before.
 _SEPARATORS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
