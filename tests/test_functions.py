@@ -84,3 +84,18 @@ def test_bins(spark):
     assert [r.b for r in rows] == [0, 0, 0, 1, 3, 3]
     d = spark.createDataFrame([([5.0, 1.0], [2.0, 3.0])], "a array<double>, b array<double>")
     assert d.select(h.subtract(F.col("a"), F.col("b")).alias("y")).first()["y"] == [3.0, 0.0]
+
+
+def test_png_text_is_stripped(spark):
+    import struct
+    import zlib
+
+    from rankwell.functions.binary import PNG, strip_png
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head, note, end = chunk(b"IHDR", b"x" * 13), chunk(b"tEXt", b"secret"), chunk(b"IEND", b"")
+    rows = [(PNG + head + note + end,), (b"GIF89a",), (PNG + head + note[:-3],), (None,)]
+    got = [r.y for r in spark.createDataFrame(rows, "x binary").select(strip_png("x").alias("y")).collect()]
+    assert [None if g is None else bytes(g) for g in got] == [PNG + head + end, b"GIF89a", PNG + head + note[:-3], None]
