@@ -241,8 +241,10 @@ def _draw(elements: DataFrame, taken: dict[int, int], leaves: dict[int, Node], p
     """The elements of this round: a range of each chosen leaf's order, or random places of it."""
     spark = elements.sparkSession
     if policy.sample == "replace":
-        picks = [(leaf, int(o) + 1) for leaf, m in taken.items() for o in rng.integers(leaves[leaf].size, size=m)]
-        return elements.join(F.broadcast(spark.createDataFrame(picks, "leaf_id int, ord bigint")), ["leaf_id", "ord"])
+        chosen = spark.createDataFrame([(leaf, m, leaves[leaf].size) for leaf, m in taken.items()], "leaf_id int, m bigint, size bigint")
+        draws = chosen.select("leaf_id", "size", F.explode(F.sequence(F.lit(1), "m")).alias("i"))
+        place = F.pmod(F.xxhash64("leaf_id", "i", F.lit(int(rng.integers(1 << 62)))), F.col("size")) + 1
+        return elements.join(draws.select("leaf_id", place.cast("bigint").alias("ord")), ["leaf_id", "ord"])
     ranges = [(leaf, leaves[leaf].drawn, leaves[leaf].drawn + m) for leaf, m in taken.items()]
     chosen = spark.createDataFrame(ranges, "leaf_id int, after bigint, until bigint")  # one row a leaf
     inside = elements.filter(F.col("leaf_id").isin(list(taken))) if len(taken) <= 100 else elements
