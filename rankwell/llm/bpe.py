@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Chunks, and words, whose ids a worker keeps: twice this number at most.
-CACHE = 200_000
+CACHE = 150_000
+#: Bits of a queue entry: 17 for a symbol, 27 above for a place in the word, then the rank.
+SYMBOL, PLACE = (1 << 17) - 1, (1 << 27) - 1
+#: ASCII's marks but the apostrophe, which may begin an ending of its own.
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 #: Unicode's White_Space, fixed values.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACE_RUN = regex.compile(f"[{SPACES}]+")
@@ -48,6 +52,12 @@ def chunks(text: str) -> list[str]:
     return _SPACE_RUN.split(text) if _ODD.search(text) else text.split()
 
 
+def letters_and_marks(text: str) -> tuple[str, str] | None:
+    """A text that is a run of letters and then a run of marks, either maybe empty, cut in two."""
+    letters = text.rstrip(_MARKS)
+    return (letters, text[len(letters) :]) if letters.isalpha() or not letters else None
+
+
 class Bpe:
     """A vocabulary file of the kind above, read once a worker."""
 
@@ -62,91 +72,91 @@ class Bpe:
         self.letters = byte_alphabet()
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         v = self.vocab
-        # a pair of ids: its rank and the id it merges to
-        self.merges = {(v[a], v[b]): (rank, v[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # a pair of ids: its rank, and the id it merges to in the low bits; a queue entry has its place between the two
+        self.merges = {v[a] << 17 | v[b]: rank << 44 | v[a + b] for rank, (a, b) in enumerate(pairs)}
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACES}"))
         self.breaks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.hint = min(self.special, key=len)[:2] if self.special else None
-        self.known, self.merged = _Kept(self.chunk), _Kept(self.word)
+        self.known, self.merged = Kept(self.chunk), Kept(self.word)
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word, written in the byte alphabet: lowest rank first, leftmost of equal ranks."""
-        if not word:
-            return []
-        vocab, merges = self.vocab, self.merges
+        get = self.merges.get
         # like any symbol, the last one with its suffix is left out if the vocabulary lacks it
-        ids = [x for x in (*map(vocab.get, word[:-1]), vocab.get(word[-1] + self.suffix)) if x is not None]
+        ids = [*map(self.vocab.get, word[:-1]), self.vocab.get(word[-1:] + self.suffix)]
+        if None in ids:
+            ids = [x for x in ids if x is not None]
         n = len(ids)
-        queue = [(m[0], i, m[1]) for i, m in enumerate(map(merges.get, zip(ids, ids[1:]))) if m]
+        queue = [m | i << 17 for i, m in enumerate(map(get, [a << 17 | b for a, b in zip(ids, ids[1:])])) if m is not None]
         if not queue:
             return ids
         heapq.heapify(queue)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         push, pop = heapq.heappush, heapq.heappop
         while queue:
-            rank, i, new = pop(queue)
-            j = after[i] if ids[i] is not None else n
-            if j >= n or merges.get((ids[i], ids[j])) != (rank, new):
+            entry = pop(queue)
+            i, new = entry >> 17 & PLACE, entry & SYMBOL
+            a, j = ids[i], after[i]
+            if a < 0 or j >= n or get(a << 17 | ids[j]) != entry & ~(PLACE << 17):
                 continue  # stale: one of the two has merged meanwhile
-            ids[i], ids[j] = new, None
+            ids[i], ids[j] = new, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (m := merges.get((new, ids[k]))) is not None:
-                    push(queue, (m[0], i, m[1]))
+                if (m := get(new << 17 | ids[k])) is not None:
+                    push(queue, m | i << 17)
             h = before[i]
-            if h >= 0 and (m := merges.get((ids[h], new))) is not None:
-                push(queue, (m[0], h, m[1]))
-        return [x for x in ids if x is not None]
+            if h >= 0 and (m := get(ids[h] << 17 | new)) is not None:
+                push(queue, m | h << 17)
+        return [x for x in ids if x >= 0]
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """The ids of one normalised word."""
+    def word(self, word: str) -> bytes:
+        """The ids of one normalised word, packed; none for an empty one."""
+        if not word:
+            return b""
         if not (word.isascii() and word.isprintable()):
             word = "".join(map(self.letters.__getitem__, word.encode("utf-8", "replace")))
-        return tuple(self.merge(word))
-
-    def _plain(self, text: str) -> tuple[int, ...]:
-        if text.isascii():
-            text = text.lower()
-            if text.isalpha():
-                return self.merged[text]
-        else:
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        return tuple(chain.from_iterable(map(self.merged.__getitem__, self.words.findall(text))))
-
-    def chunk(self, text: str) -> tuple[int, ...]:
-        """The ids of a text without white space, or with white space that is no separator here."""
+        return array("I", self.merge(word)).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        # letter by letter, without the rule for a closing sigma
+        text = text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))
+        if (pair := letters_and_marks(text)) is not None:
+            return self.merged[pair[0]] + self.merged[pair[1]]
+        return b"".join(map(self.merged.__getitem__, self.words.findall(text)))
+
+    def chunk(self, text: str) -> bytes:
+        """The ids of a text without white space, or with white space that is no separator here, packed."""
         if self.hint is None or self.hint not in text:
             return self._plain(text)
         out, at = [], 0
         for m in self.breaks.finditer(text):
-            out += self._plain(text[at : m.start()])
-            out.append(self.special[m[0]])
+            out += [self._plain(text[at : m.start()]), array("I", [self.special[m[0]]]).tobytes()]
             at = m.end()
-        return (*out, *self._plain(text[at:]))
+        return b"".join([*out, self._plain(text[at:])])
 
     def encode(self, text: str | None) -> array:
         """The ids of a whole text, as unsigned 32-bit numbers."""
-        if not text:
-            return array("I")
-        return array("I", chain.from_iterable(map(self.known.__getitem__, chunks(text))))
+        return array("I", b"".join(map(self.known.__getitem__, chunks(text))) if text else b"")
 
     def decode(self, ids: Iterable[int]) -> str:
         """The vocabulary's strings, with a space between any two as the file has no decoder of its own."""
         return " ".join(filter(None, map(self.strings.get, ids)))
 
 
-class _Kept(dict):
-    """Texts of up to 64 characters and their ids, made when first asked for. When full it becomes the older half, from which what is still in use returns."""
+class Kept(dict):
+    """Texts of up to 64 characters and their ids, packed, made when first asked for. When full it becomes the older half, from which what is still in use returns."""
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]]):
-        self.make, self.older = make, {}
+    def __init__(self, make: Callable[[str], bytes], most: int = CACHE):
+        self.make, self.most, self.older = make, most, {}
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
+    def __missing__(self, text: str) -> bytes:
         ids = self.older.get(text)
         if ids is None:
             ids = self.make(text)
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         if len(text) <= 64:

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import math
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankwell.llm.bpe import chunks
+from rankwell.llm.bpe import Kept, byte_alphabet, chunks, letters_and_marks
 from rankwell.llm.common import new_path
 
 #: Bytes of text of a file, bytes of a row group and of a page, rows of a page.
 FILE_BYTES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 24 << 20, 8 << 20, 256 << 10, 1000
-#: Chunks whose ids a worker keeps, at most twice this number; documents encoded together.
+#: Chunks, and words, whose ids a worker keeps, at most twice this number; documents encoded together.
 CACHE, TOGETHER = 300_000, 200
 SCHEMA = "doc_id long, part int, row int, n_tokens int, ids array<int>"
 ENCODINGS = {
@@ -38,7 +39,7 @@ ENCODINGS = {
 
 
 class Encoder:
-    """The tokenizers library over the chunks between white space, each distinct one encoded once while it is kept."""
+    """The tokenizers library over the chunks between white space: each distinct one, and each distinct word of letters in them, is encoded once while it is kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
@@ -47,33 +48,24 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, new: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of chunks, from one call: `word_ids` says which chunk an id belongs to."""
-        out = {x: () for x in new}
-        plain = [x for x in new if "<|" not in x]
-        e = self.lib.encode(plain, is_pretokenized=True, add_special_tokens=False)
-        ids, own = e.ids, np.array(e.word_ids, dtype=np.int64)
-        edges = np.searchsorted(own, np.arange(len(plain) + 1)).tolist()
-        out.update((x, tuple(ids[a:b])) for x, a, b in zip(plain, edges, edges[1:]))
-        for x in new:
-            if "<|" in x:  # may hold a special token, which belongs to no chunk
-                out[x] = tuple(self.lib.encode(x, add_special_tokens=False).ids)
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[list[tuple[int, ...]]]:
-        """For each text the ids of its chunks."""
-        held = [chunks(x) if x else [] for x in texts]
-        distinct = set(chain.from_iterable(held))
-        if len(self.known) > CACHE:  # what is still in use returns from the older half
-            self.known, self.older = {}, self.known
-        absent = distinct.difference(self.known)
-        self.known.update((x, self.older[x]) for x in absent.intersection(self.older))
-        if new := list(absent.difference(self.older)):
-            self.known.update(self.learn(new))
-        return [list(map(self.known.__getitem__, h)) for h in held]
+        self.tokenize, self.letters = self.lib.model.tokenize, byte_alphabet()
+        self.known, self.words = Kept(self.chunk, CACHE), Kept(self.word, CACHE)
+
+    def word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):
+            word = "".join(map(self.letters.__getitem__, word.encode("utf-8", "replace")))
+        return array("i", [t.id for t in self.tokenize(word)]).tobytes() if word else b""
+
+    def chunk(self, text: str) -> bytes:
+        """The ids of a chunk, packed. What the library's normaliser and splitter do to letters with closing marks is plain; other chunks go through them."""
+        if "<|" not in text and "\u03a3" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            if (pair := letters_and_marks(text.lower())) is not None:
+                return self.words[pair[0]] + self.words[pair[1]]
+        return array("i", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a whole text, packed as native 32-bit numbers."""
+        return b"".join(map(self.known.__getitem__, chunks(text))) if text else b""
 
 
 @lru_cache(maxsize=2)
@@ -85,15 +77,14 @@ def write(docs: DataFrame, out: str, path: str, end_id: int, id_col: str = "doc_
     """Encode every text and write the files below `out`."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, row = encoder(path), 0
+        enc, row, end = encoder(path), 0, array("i", [end_id]).tobytes()
         for b in batches:
             for at in range(0, b.num_rows, TOGETHER):
                 part = b.slice(at, TOGETHER)
-                found = enc.encode(part.column("text").to_pylist())
-                ids = np.fromiter(chain.from_iterable(chain(chain.from_iterable(f), (end_id,)) for f in found), dtype=np.int32)
-                sizes = np.array([sum(map(len, f)) + 1 for f in found], dtype=np.int32)
+                found = [enc.encode(x.as_py()) + end for x in part.column("text")]
+                sizes = np.array([*map(len, found)], dtype=np.int32) // 4
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
                 rows = pa.array(np.arange(row, row + len(sizes), dtype=np.int32))
                 row += len(sizes)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), rows, pa.array(sizes), lists], ["doc_id", "part", "row", "n_tokens", "ids"])
@@ -118,10 +109,10 @@ def tokens(spark: SparkSession, path: str, first: int | None = None, last: int |
     return d if last is None else d.filter(F.col("doc_id") <= last)
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
-    """`rows` with `start`, the number of ids before each document: sums over files, then within each file."""
+def with_starts(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """`rows` with `start`, the number of ids before each document: sums over files, then within each file. The files' sums come from `sizes`, as `lengths` gives them, or from `rows`."""
     earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a file
-    first = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    first = (rows if sizes is None else sizes).groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     before = W.partitionBy("part").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
     out = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(first, "part")
     return out.withColumn("start", (F.col("first") + F.col("before")).cast("long")).drop("first", "before")
@@ -145,5 +136,5 @@ def round_trip(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     spark = docs.sparkSession
     out = out or new_path(spark, "tokens")
     write(docs, out, path, end_id, id_col, text_col)
-    found = with_starts(checksums(tokens(spark, out)))
+    found = with_starts(checksums(tokens(spark, out)), lengths(spark, out))
     return found.select(F.col("doc_id").alias(id_col), "start", "n_tokens", "ids_crc32")
