@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankwell.functions.columns import relu
-from rankwell.operators import experiment
+from rankwell.operators import exact, experiment
 from rankwell.operators.bandit import Policy, budgeted_top_k
 from rankwell.operators.order import draw_order
 from rankwell.operators.scoring import relu_scorer
-from rankwell.plans.base import SCORED, query, table
+from rankwell.plans.base import SCORED, events, query, table
 from rankwell.sources.files import dense_index
 from rankwell.sources.shared import cut
 
@@ -73,9 +73,6 @@ def approx_topk_replace(spark, sf_dir):
 @query(f"SELECT element_id AS event_id, score FROM ({SCORED}) ORDER BY score DESC, element_id DESC LIMIT 100")
 def sorted_index_scan(spark, sf_dir):
     """The first 100 of an index sorted by score, which need no further calls."""
-    from rankwell.operators import exact
-    from rankwell.plans.base import events
-
     ordered = exact.rankings(events(spark, sf_dir)).withColumnRenamed("rank", "ord").withColumn("leaf_id", F.lit(0))
     nodes = spark.range(1).select(F.lit(0).alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.lit(0).alias("ordinal"), F.lit(True).alias("is_leaf"), F.lit(100).cast("long").alias("size"))
     found, _, _ = budgeted_top_k(cut(ordered).withColumnRenamed("score", "known"), nodes, F.col("known"), 100, 100, policy=Policy("scan", "sortedscan"), rounds=1, arms=1)

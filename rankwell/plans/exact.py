@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankwell.functions.columns import relu
 from rankwell.operators import exact
-from rankwell.operators.order import numbered
+from rankwell.operators.order import batch_of, exact_sample, numbered
 from rankwell.plans.base import SCORED, drawn, events, query, table
 
 
@@ -41,8 +42,6 @@ def pq_topk(spark, sf_dir):
 @query(f"SELECT element_id AS event_id, score FROM ({SCORED}) ORDER BY draw, element_id LIMIT 100")
 def limited_list(spark, sf_dir):
     """The first 100 drawn, whatever their score."""
-    from rankwell.operators.order import exact_sample
-
     return exact_sample(events(spark, sf_dir), "element_id", 100).select(F.col("element_id").alias("event_id"), "score")
 
 
@@ -128,10 +127,6 @@ SELECT event_type, batch, round(sum(cost) OVER (PARTITION BY event_type ORDER BY
 )
 def cumulative_time(spark, sf_dir):
     """Time so far after each batch of 400, at a cost for each element and for its score."""
-    from pyspark.sql import Window as W
-
-    from rankwell.operators.order import batch_of
-
     d = drawn(spark, sf_dir, ["event_type"]).withColumn("batch", batch_of(F.col("ord"), 400))
     b = d.groupBy("event_type", "batch").agg((F.count(F.lit(1)) * 0.001 + F.sum("score") * 0.000001).alias("cost"))
     so_far = F.sum("cost").over(W.partitionBy("event_type").orderBy("batch").rowsBetween(W.unboundedPreceding, 0))

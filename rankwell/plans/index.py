@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankwell.operators import tree
 from rankwell.operators.order import batch_of, numbered
 from rankwell.plans.base import SCORED, drawn, events, query, table
-from rankwell.sources.files import export_index, import_index
+from rankwell.sources.files import dense_index, elements, export_index, import_index, useful
 
 NODES_SQL = """
  n0 AS (SELECT 0 AS node_id, NULL::INTEGER AS parent_id, 0 AS ordinal, 0 AS depth, false AS is_leaf
@@ -25,8 +26,6 @@ UP_SQL = """
 
 def nodes(spark, sf_dir):
     """Nodes of the three-level tree; nations are leaves."""
-    from pyspark.sql import Window as W
-
     region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
     root = spark.range(1).select(F.lit(0).alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.lit(0).alias("ordinal"), F.lit(0).alias("depth"), F.lit(False).alias("is_leaf"))
     regions = region.select((F.col("r_regionkey") + 1).cast("int").alias("node_id"), F.lit(0).alias("parent_id"), F.col("r_regionkey").cast("int").alias("ordinal"), F.lit(1).alias("depth"), F.lit(False).alias("is_leaf"))
@@ -151,15 +150,11 @@ def fetch_by_id(spark, sf_dir):
 
 @query("SELECT p_partkey, p_type, p_size, p_retailprice FROM part")
 def fetch_exclude_cols(spark, sf_dir):
-    from rankwell.sources.files import elements
-
     return elements(spark, f"{sf_dir}/part.parquet", ["p_name", "p_brand", "absent"])
 
 
 @query("SELECT p_partkey, p_size, p_retailprice FROM part")
 def project_useful(spark, sf_dir):
-    from rankwell.sources.files import useful
-
     return useful(table(spark, sf_dir, "part"), ["p_partkey", "p_size", "listed_at", "p_size", "p_retailprice"])
 
 
@@ -180,8 +175,6 @@ def semi_chosen(spark, sf_dir):
 @query("SELECT doc_id, idx FROM documents JOIN (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS idx FROM (SELECT DISTINCT lang FROM documents WHERE lang <> 'es')) USING (lang)")
 def map_inner(spark, sf_dir):
     """The class of each document whose language is mapped."""
-    from rankwell.sources.files import dense_index
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     classes = dense_index(docs.filter("lang <> 'es'"), "lang").withColumnRenamed("name", "lang")
     return docs.join(F.broadcast(classes), "lang").select("doc_id", "idx")  # a few classes
