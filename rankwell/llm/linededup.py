@@ -55,12 +55,10 @@ def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source",
     gone = per_host.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
     out = docs.join(F.broadcast(gone) if small else gone, F.col(host) == F.col("__host"), "left")
     kept = F.expr(f"filter(split(`{text}`, '\\n'), x -> not array_contains(__lines, x))")
-    new = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(F.concat_ws("\n", kept))
-    new = F.when(F.col(text).isNull(), F.lit(None).cast("string")).otherwise(new)
+    new = F.when(F.col(text).isNull() | F.col("__lines").isNull(), F.col(text)).otherwise(F.concat_ws("\n", kept))
     more = []
     if counts:
-        n = F.coalesce(F.size(_lines(F.col(text))), F.lit(0))
-        n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(n)
+        n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(_lines(F.col(text))))
         left = F.when(F.col(text).isNull() | F.col("__lines").isNull(), n).otherwise(F.size(kept))
         more = [n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_dropped")]
     same = [F.col(c) if c != text else new.alias(text) for c in docs.columns]
