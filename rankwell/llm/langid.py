@@ -32,7 +32,7 @@ from rankwell.llm.common import cut
 #: The bound of the fitting sample: texts of each language, and languages.
 PER_LANGUAGE, MAX_LANGUAGES = 300, 200
 #: EM rounds; letters of a piece, letters of a word part, words that a worker keeps, words scored together.
-ROUNDS, PIECE, PART, CACHE, TOGETHER = 3, 8, 48, 200_000, 20_000
+ROUNDS, PIECE, PART, CACHE, TOGETHER = 3, 8, 48, 300_000, 100_000
 UNKNOWN, SMOOTH = 1e-7, 0.05
 START = "▁"
 _WORD = regex.compile(r"\p{L}+")
@@ -175,18 +175,25 @@ class Model:
 def sample(docs: DataFrame, id_col: str, text: str, label: str, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Rows (label, text): of each language the first texts in order of the id's hash.
 
-    The order is drawn on narrow rows; the ids it leaves, a bounded number, then fetch their texts.
+    The order is drawn on narrow rows, of which a bound on the hash leaves a few times the wanted number; without
+    the bound should it leave too few, as when an id is repeated very often. The ids then fetch their texts.
     """
     d = docs.filter(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("label"), F.xxhash64(id_col).alias("o"), F.col(text).alias("text"))
-    languages = d.select("label").distinct().limit(MAX_LANGUAGES + 1).count()
-    if languages > MAX_LANGUAGES:
+    sizes = cut(d.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    if sizes.count() > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
+    narrow = d.select("label", "o", "id")
+    bound = F.lit(float(1 << 64)) * F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n")) - F.lit(float(1 << 63))
+    few = narrow.join(F.broadcast(sizes.select("label", bound.alias("most"))), "label").filter(F.col("o") <= F.col("most")).drop("most")
     rank = F.row_number().over(W.partitionBy("label").orderBy("o", "id"))
-    ids = cut(d.select("label", "o", "id").withColumn("rn", rank).filter(F.col("rn") <= per_language).select("label", "id").distinct())
-    held = d.join(F.broadcast(ids), ["label", "id"], "left_semi")
+    first = cut(few.withColumn("rn", rank).filter(F.col("rn") <= per_language))
+    held = first.groupBy("label").agg(F.count(F.lit(1)).alias("k"))
+    if not sizes.join(held, "label", "left").filter(F.coalesce("k", F.lit(0)) < F.least("n", F.lit(per_language))).isEmpty():
+        first = cut(narrow.withColumn("rn", rank).filter(F.col("rn") <= per_language))
+    texts = d.join(F.broadcast(first.select("label", "id").distinct()), ["label", "id"], "left_semi")
     # an id may be repeated
     rank = F.row_number().over(W.partitionBy("label").orderBy("o", "id", F.xxhash64("text")))
-    return held.withColumn("rn", rank).filter(F.col("rn") <= per_language).select("label", "text")
+    return texts.withColumn("rn", rank).filter(F.col("rn") <= per_language).select("label", "text")
 
 
 def fit(labelled: DataFrame, path: str) -> Model:
