@@ -29,7 +29,7 @@ from rankwell.llm.common import new_path
 
 #: Bytes of text of a file, bytes of a row group and of a page, rows of a page.
 FILE_BYTES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 24 << 20, 8 << 20, 256 << 10, 1000
-#: Chunks, and words, whose ids a worker keeps, at most twice this number; documents encoded together.
+#: Chunks whose ids a worker keeps, at most twice this number, and a third as many words; documents encoded together.
 CACHE, TOGETHER = 300_000, 200
 SCHEMA = "doc_id long, part int, row int, n_tokens int, ids array<int>"
 ENCODINGS = {
@@ -49,7 +49,7 @@ class Encoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.tokenize, self.letters = self.lib.model.tokenize, byte_alphabet()
-        self.known, self.words = Kept(self.chunk, CACHE), Kept(self.word, CACHE)
+        self.known, self.words = Kept(self.chunk, CACHE), Kept(self.word, CACHE // 3)
 
     def word(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):
