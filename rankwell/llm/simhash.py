@@ -218,8 +218,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their component's smallest; one row where an id is repeated. Rows without an id all stay."""
-    found = near_duplicates(docs, id_col, text_col)
+    """The documents whose id is their component's smallest, see keep_smallest."""
+    return keep_smallest(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose id is their component's smallest in `found`; one row where an id is repeated. Rows without an id all stay."""
     kept = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")))
     once = docs.join(kept.filter("__n = 1").select(id_col), id_col, "left_semi").select(docs.columns)
     out = once.unionByName(docs.filter(F.col(id_col).isNull()))
