@@ -9,6 +9,7 @@ from rankwell.operators import tree
 from rankwell.operators.order import batch_of, numbered
 from rankwell.plans.base import SCORED, drawn, events, query, table
 from rankwell.sources.files import dense_index, elements, export_index, import_index, useful
+from rankwell.sources.shared import new_path
 
 NODES_SQL = """
  n0 AS (SELECT 0 AS node_id, NULL::INTEGER AS parent_id, 0 AS ordinal, 0 AS depth, false AS is_leaf
@@ -61,7 +62,7 @@ def index_import(spark, sf_dir):
     n = nodes(spark, sf_dir)
     d = n.join(tree.paths(n), "node_id")
     members = numbered(leaf_elements(spark, sf_dir), [F.asc("element_id")], ["leaf_id"], "ord")
-    again, held = import_index(spark, export_index(d.withColumn("centroid", F.lit(None).cast("array<double>")), members))
+    again, _ = import_index(spark, export_index(d.withColumn("centroid", F.lit(None).cast("array<double>")), members, new_path(spark, "members")))
     back = again.select(F.array_join("path", ".").alias("path"), "is_leaf", "size")
     ids = d.select("node_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "ordinal", "path")
     return ids.join(back, "path").drop("path")

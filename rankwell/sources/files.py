@@ -6,12 +6,15 @@ import io
 import json
 import tarfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankwell.operators.order import numbered
+
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tiff")
 ARCHIVE_SUFFIXES = (".jpeg", ".jpg", ".png")
 
@@ -102,19 +105,25 @@ def dense_index(df: DataFrame, column: str) -> DataFrame:
     return names.select("name", (F.row_number().over(W.orderBy("name")) - 1).cast("long").alias("idx"))
 
 
-def index_document(root: dict) -> tuple[list[tuple], list[tuple]]:
-    """The node and member rows of a nested index document, whose inner nodes have children and whose leaves have ids."""
-    nodes, members, todo = [], [], [(root, None, 0, [])]
+def index_document(root: dict) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """The node and member rows of a nested index document, whose inner nodes have children and whose leaves have ids.
+
+    Third, the leaves (leaf_id, children) that refer to a table or a CSV file instead; their size is 0 here.
+    """
+    nodes, members, far, todo = [], [], [], [(root, None, 0, [])]
     while todo:
         node, parent, ordinal, path = todo.pop()
         own, children = len(nodes), node["children"]
-        inner = bool(children) and isinstance(children[0], dict)
-        nodes.append((own, parent, ordinal, len(path), path, not inner, 0 if inner else len(children), node.get("centroid")))
-        if inner:
+        refers = isinstance(children, str | dict)
+        inner = not refers and bool(children) and isinstance(children[0], dict)
+        nodes.append((own, parent, ordinal, len(path), path, not inner, 0 if inner or refers else len(children), node.get("centroid")))
+        if refers:
+            far.append((own, children))
+        elif inner:
             todo += [(c, own, i, [*path, i]) for i, c in reversed(list(enumerate(children)))]
         else:
             members += [(own, str(x), i) for i, x in enumerate(children)]
-    return nodes, members
+    return nodes, members, far
 
 
 NODES = "node_id int, parent_id int, ordinal int, depth int, path array<int>, is_leaf boolean, size bigint, centroid array<double>"
@@ -124,29 +133,48 @@ MEMBERS = "leaf_id int, element_id string, ord bigint"
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and members of an index document. A leaf may instead name a CSV file, whose first column is read as ids.
 
-    Such a document is one JSON value, so it is read on the driver; for large indexes keep the two tables as Parquet.
+    Such a document is one JSON value, so it is read on the driver; leaves of many ids refer to a table or a CSV file.
     """
     root = json.loads(spark.read.text(path, wholetext=True).first()["value"])
     return import_index(spark, root)
 
 
 def import_index(spark: SparkSession, root: dict) -> tuple[DataFrame, DataFrame]:
-    def fetch(node: dict) -> dict:
-        children = node["children"]
-        if isinstance(children, str):
-            first = spark.read.csv(children, header=True, inferSchema=False)
-            return node | {"children": [r[0] for r in first.select(first.columns[0]).toLocalIterator()]}
-        return node | {"children": [fetch(c) if isinstance(c, dict) else c for c in children]}
-
-    nodes, members = index_document(fetch(root))
-    return spark.createDataFrame(nodes, NODES), spark.createDataFrame(members, MEMBERS)
-
-
-def export_index(nodes: DataFrame, members: DataFrame) -> dict:
-    """The nested document of an index that is small enough for one JSON value."""
+    """Nodes and members of an index document. Ids that leaves refer to stay in Spark, where their sizes are counted."""
+    nodes, members, far = index_document(root)
+    own, held = spark.createDataFrame(nodes, NODES), spark.createDataFrame(members, MEMBERS)
+    if not far:
+        return own, held
+    tables, found = {}, []
+    for leaf, ref in far:
+        if isinstance(ref, dict):
+            tables.setdefault(ref["table"], []).append((leaf, ref["leaf_id"]))
+            continue
+        first = spark.read.csv(ref, header=True, inferSchema=False)
+        ids = first.select(F.col(f"`{first.columns[0]}`").alias("element_id"), F.monotonically_increasing_id().alias("at"))
+        found.append(numbered(ids, [F.asc("at")]).select(F.lit(leaf).alias("leaf_id"), "element_id", (F.col("rn") - 1).alias("ord")))
+    for path, leaves in tables.items():
+        names = spark.createDataFrame(leaves, "own int, leaf_id int")
+        found.append(spark.read.parquet(path).join(F.broadcast(names), "leaf_id").select(F.col("own").alias("leaf_id"), "element_id", "ord"))
+    there = reduce(DataFrame.unionByName, found)
+    sizes = there.groupBy(F.col("leaf_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    counted = own.join(sizes, "node_id", "left").withColumn("size", F.coalesce("n", "size")).select(own.columns)
+    return counted, held.unionByName(there)
+
+
+def export_index(nodes: DataFrame, members: DataFrame, path: str | None = None) -> dict:
+    """The nested document of an index: with a path, Spark writes the members there and each leaf refers to them.
+
+    Without one, all ids are in the document, so the index has to be small enough for one JSON value.
+    """
     rows = {r["node_id"]: r for r in nodes.collect()}
-    own = {r["leaf_id"]: r["ids"] for r in members.groupBy("leaf_id").agg(F.array_sort(F.collect_list(F.struct("ord", "element_id"))).alias("ids")).collect()}
-    out = {i: {"children": [x["element_id"] for x in own.get(i, [])] if r["is_leaf"] else []} | ({"centroid": r["centroid"]} if r["centroid"] else {}) for i, r in rows.items()}
+    if path:
+        members.write.parquet(path)
+        held = lambda i: {"table": path, "leaf_id": i}
+    else:
+        own = {r["leaf_id"]: r["ids"] for r in members.groupBy("leaf_id").agg(F.array_sort(F.collect_list(F.struct("ord", "element_id"))).alias("ids")).collect()}
+        held = lambda i: [x["element_id"] for x in own.get(i, [])]
+    out = {i: {"children": held(i) if r["is_leaf"] else []} | ({"centroid": r["centroid"]} if r["centroid"] else {}) for i, r in rows.items()}
     for i, r in sorted(rows.items(), key=lambda x: x[1]["ordinal"]):
         if r["parent_id"] is not None:
             out[r["parent_id"]]["children"].append(out[i])
