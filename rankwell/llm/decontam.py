@@ -238,12 +238,12 @@ def _sums(gain: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def _parts(items: DataFrame, item_col: str, question: Column, answer: Column) -> Iterator[list[tuple[int, str, str | None]]]:
-    """The items in lists of bounded size."""
+    """The items in lists of about INDEX_BYTES; the texts of one item id stay together, so that the best of them counts."""
     t = items.select(F.col(item_col).cast("long").alias("item"), question.alias("q"), answer.alias("a"))
     size = F.octet_length(F.coalesce("q", F.lit(""))) + F.octet_length(F.coalesce("a", F.lit(""))) + 64
     n = max(1, math.ceil((t.agg(F.sum(size)).first()[0] or 0) / INDEX_BYTES))
     for k in range(n):
-        yield [tuple(r) for r in t.filter(F.pmod(F.xxhash64("item", "q"), F.lit(n)) == k).collect()]
+        yield [tuple(r) for r in t.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]
 
 
 def split_answer(text: Column) -> tuple[Column, Column]:
