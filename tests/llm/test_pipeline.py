@@ -7,7 +7,7 @@ import hashlib
 import corpus_pipeline as p
 from rankwell.llm import queries
 from rankwell.llm.queries import vocabulary_path
-from test_operators import near_texts
+from test_llm_operators import near_texts
 
 
 def test_stages(spark, tmp_path):
