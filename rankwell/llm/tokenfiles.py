@@ -5,14 +5,14 @@ the end id. Row groups and pages are of set sizes, ids are dictionary or delta e
 lets a reader skip pages by doc_id; columns are apart, so lengths and places are read without any token.
 
 Defined results: a null text has only the end id; documents with a null id come first; repeated ids are
-ordered by a hash of their text; an empty table gives files without rows.
+ordered by a hash of their text; a very long text is one row, whatever its length; an empty table gives files without
+rows; only the id and the text of the given table are read, so its other columns may have any names.
 """
 
 from __future__ import annotations
 
 import math
 import os
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,13 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankwell.llm.bpe import Kept, byte_alphabet, chunks, letters_and_marks
-from rankwell.llm.common import new_path
+from rankwell.llm.bpe import byte_alphabet, library, plain_words
+from rankwell.llm.chunked import Kept, distinct, joined, parts
+from rankwell.llm.common import cut, new_path
 
 #: Bytes of text of a file, bytes of a row group and of a page, rows of a page.
-FILE_BYTES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 24 << 20, 8 << 20, 256 << 10, 1000
-#: Chunks whose ids a worker keeps, at most twice this number, and a third as many words; documents encoded together.
-CACHE, TOGETHER = 300_000, 200
+FILE_BYTES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 128 << 20, 8 << 20, 256 << 10, 1000
+#: Files whose sums are added up in one window.
+GROUPED = 4096
+#: Chunks whose ids a worker keeps, at most twice this number, and half as many words.
+CACHE = 100_000
 SCHEMA = "doc_id long, part int, row int, n_tokens int, ids array<int>"
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_1_0"},
@@ -43,13 +46,9 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_truncation()
-        self.lib.no_padding()
+        self.lib = library(path)
         self.tokenize, self.letters = self.lib.model.tokenize, byte_alphabet()
-        self.known, self.words = Kept(self.chunk, CACHE), Kept(self.word, CACHE // 3)
+        self.known, self.words = Kept(self.chunk, CACHE), Kept(self.word, CACHE // 2)
 
     def word(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):
@@ -57,15 +56,18 @@ class Encoder:
         return array("i", [t.id for t in self.tokenize(word)]).tobytes() if word else b""
 
     def chunk(self, text: str) -> bytes:
-        """The ids of a chunk, packed. What the library's normaliser and splitter do to letters with closing marks is plain; other chunks go through them."""
-        if "<|" not in text and "\u03a3" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            if (pair := letters_and_marks(text.lower())) is not None:
-                return self.words[pair[0]] + self.words[pair[1]]
+        """The ids of a chunk, packed."""
+        if (pair := plain_words(text)) is not None:
+            return self.words[pair[0]] + self.words[pair[1]]
         return array("i", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text, packed as native 32-bit numbers."""
-        return b"".join(map(self.known.__getitem__, chunks(text))) if text else b""
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> pa.ListArray:
+        """The ids of whole texts, `end` (packed) after each."""
+        chunks, which, starts = distinct(texts)
+        made = [*map(self.known.__getitem__, chunks), end]
+        which = np.insert(which, starts[1:], len(chunks))
+        flat, at = joined(made, which, starts + np.arange(len(starts)), 4)
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
 
 
 @lru_cache(maxsize=2)
@@ -73,25 +75,23 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write(docs: DataFrame, out: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", encoding: str = "dictionary") -> None:
-    """Encode every text and write the files below `out`."""
+def write(docs: DataFrame, out: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", encoding: str = "dictionary", file_bytes: int | None = None) -> None:
+    """Encode every text and write the files below `out`, each of about `file_bytes` of text, FILE_BYTES if unset."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, row, end = encoder(path), 0, array("i", [end_id]).tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, TOGETHER):
-                part = b.slice(at, TOGETHER)
-                found = [enc.encode(x.as_py()) + end for x in part.column("text")]
-                sizes = np.array([*map(len, found)], dtype=np.int32) // 4
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
-                rows = pa.array(np.arange(row, row + len(sizes), dtype=np.int32))
-                row += len(sizes)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), rows, pa.array(sizes), lists], ["doc_id", "part", "row", "n_tokens", "ids"])
+            at = 0
+            for texts in parts(b.column("text")):
+                lists, n = enc.encode_all(texts, end), len(texts)
+                ids, place = b.column("doc_id").slice(at, n), b.column("part").slice(at, n)
+                rows = pa.array(np.arange(row, row + n, dtype=np.int32))
+                at, row = at + n, row + n
+                yield pa.RecordBatch.from_arrays([ids, place, rows, lists.value_lengths(), lists], ["doc_id", "part", "row", "n_tokens", "ids"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranged = d.repartitionByRange(max(1, math.ceil(size / FILE_BYTES)), F.asc("doc_id"), F.xxhash64("text"))
+    ranged = d.repartitionByRange(max(1, math.ceil(size / (file_bytes or FILE_BYTES))), F.asc("doc_id"), F.xxhash64("text"))
     ranged = ranged.sortWithinPartitions(F.asc("doc_id"), F.xxhash64("text")).withColumn("part", F.spark_partition_id())
     options = ENCODINGS[encoding] | {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size": str(PAGE_BYTES), "parquet.page.row.count.limit": str(PAGE_ROWS)}
     ranged.mapInArrow(encode, SCHEMA).write.options(**options).parquet(out)
@@ -110,10 +110,14 @@ def tokens(spark: SparkSession, path: str, first: int | None = None, last: int |
 
 
 def with_starts(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """`rows` with `start`, the number of ids before each document: sums over files, then within each file. The files' sums come from `sizes`, as `lengths` gives them, or from `rows`."""
-    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a file
-    first = (rows if sizes is None else sizes).groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    before = W.partitionBy("part").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
+    """`rows` with `start`, the number of ids before each document: sums over groups of files, over the files of a group, then within each file. The files' sums come from `sizes`, as `lengths` gives them, or from `rows`."""
+    earlier = W.unboundedPreceding, -1
+    files = (rows if sizes is None else sizes).groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("group", F.floor(F.col("part") / GROUPED))
+    files = cut(files)  # a row a file
+    groups = files.groupBy("group").agg(F.sum("n").alias("m")).select("group", F.coalesce(F.sum("m").over(W.orderBy("group").rowsBetween(*earlier)), F.lit(0)).alias("base"))
+    first = F.coalesce(F.sum("n").over(W.partitionBy("group").orderBy("part").rowsBetween(*earlier)), F.lit(0))
+    first = files.withColumn("first", first).join(groups, "group").select("part", (F.col("first") + F.col("base")).alias("first"))
+    before = W.partitionBy("part").orderBy("row").rowsBetween(*earlier)
     out = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(first, "part")
     return out.withColumn("start", (F.col("first") + F.col("before")).cast("long")).drop("first", "before")
 
@@ -125,7 +129,8 @@ def checksums(rows: DataFrame) -> DataFrame:
         for b in batches:
             ids = b.column("ids")
             at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            crc = np.array([zlib.crc32(flat[s:e].tobytes()) for s, e in zip(at, at[1:])], dtype=np.int64)
+            flat, size = memoryview(flat).cast("B"), 4 * at
+            crc = np.array([zlib.crc32(flat[s:e]) for s, e in zip(size, size[1:])], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("row"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc)], ["doc_id", "part", "row", "n_tokens", "ids_crc32"])
 
     return rows.mapInArrow(sums, "doc_id long, part int, row int, n_tokens long, ids_crc32 long")

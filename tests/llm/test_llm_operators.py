@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -223,21 +224,52 @@ def test_quality_keeps_good(spark):
     assert few[5001].kept  # nothing is certified by five documents
 
 
+def packed(enc, texts):
+    return [np.asarray(x, dtype=np.int32).tolist() for x in enc.encode_all(pa.array(texts)).to_pylist()]
+
+
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer
 
     lib, own = Tokenizer.from_file(vocabulary_path()), bpe.Bpe(vocabulary_path())
     rng = random.Random(6)
-    signs = [*"abcsSéÉΣσ'’ \n\t\x1c\x85\xa0​İǰ̌JΑΟ12½三かЖ!?#<|>_-.\U0001F600", "<|endoftext|>", "<|startoftext|>", "'ll", "don't"]
+    signs = [*"abcsSéÉΣσ'’ \n\t\x1c\x85\xa0​ İǰ̌JΑΟ12½三かЖ!?#<|>_-.\U0001F600", "<|endoftext|>", "<|startoftext|>", "'ll", "don't"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["aa" * 5000, "x1" * 3000]
     enc = tokenfiles.Encoder(vocabulary_path())
+    assert packed(enc, texts) == [lib.encode(t, add_special_tokens=False).ids for t in texts]
     for t in texts:
         ids = lib.encode(t, add_special_tokens=False).ids
         assert own.encode(t).tolist() == ids, t
-        assert np.frombuffer(enc.encode(t), dtype=np.int32).tolist() == ids, t
         assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_equals_library_on_every_code_point():
+    """Each code point of the planes with letters, and a part of the unassigned and private ones, alone and between letters."""
+    from tokenizers import Tokenizer
+
+    lib, own, enc = Tokenizer.from_file(vocabulary_path()), bpe.Bpe(vocabulary_path()), tokenfiles.Encoder(vocabulary_path())
+    every = [c for c in range(0x32400) if not 0xD800 <= c < 0xE000] + [*range(0x32400, 0x110000, 997), *range(0xE0000, 0xE0200)]
+    for at in range(0, len(every), 20_000):
+        for frame in ("{}", "a{}B"):
+            texts = [frame.format(chr(c)) for c in every[at : at + 20_000]]
+            want = [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+            got = packed(enc, texts)
+            assert got == want, next(t for t, g, w in zip(texts, got, want) if g != w)
+            got = [own.encode(t).tolist() for t in texts]
+            assert got == want, next(t for t, g, w in zip(texts, got, want) if g != w)
+
+
+def test_bpe_checks_the_vocabulary(tmp_path):
+    import json
+
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][0]["id"] = 1 << 17
+    (tmp_path / "v.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe.Bpe(str(tmp_path / "v.json"))
+
+
 def test_bpe_frames(spark):
     d = odd(spark)
     rows = bpe.digests(d, vocabulary_path()).collect()
