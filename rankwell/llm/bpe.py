@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankwell.llm.chunked import Kept, distinct, joined, parts
+from rankwell.llm.chunked import Kept, distinct, joined, made, parts
 
 #: Chunks, and words, whose ids a worker keeps: twice this number at most.
 CACHE = 100_000
 #: Bits of a queue entry: 17 for a symbol, 27 above for a place in the word, then the rank.
 SYMBOL, PLACE = (1 << 17) - 1, (1 << 27) - 1
 #: ASCII's marks but the apostrophe, which may begin an ending of its own.
-_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 _SPACES = re.compile("[\t-\r ]+")
 
 
@@ -69,7 +69,7 @@ def plain_words(text: str) -> tuple[str, str] | None:
     if "<|" in text or "\u03a3" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
         return None
     text = text.lower()
-    letters = text.rstrip(_MARKS)
+    letters = text.rstrip(MARKS)
     return (letters, text[len(letters) :]) if letters.isalpha() or not letters else None
 
 
@@ -87,6 +87,8 @@ class Bpe:
         self.letters = byte_alphabet()
         if max(self.strings, default=0) > SYMBOL:
             raise ValueError(f"ids beyond {SYMBOL} have no room in a queue entry")
+        if any(plain_words(x) for x in self.special):
+            raise ValueError("special tokens of letters and closing marks are not told from words")
         self.lib = library(path)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         v = self.vocab
@@ -156,10 +158,14 @@ class Bpe:
         """The ids of a whole text, as unsigned 32-bit numbers."""
         return array("I", b"".join(map(self.known.__getitem__, _SPACES.split(text))) if text else b"")
 
-    def encode_all(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def encode_all(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The packed ids of the texts' distinct chunks, and which of them follow each other in which text; see `distinct`."""
         chunks, which, starts = distinct(texts)
-        return list(map(self.known.__getitem__, chunks)), which, starts
+        return made(chunks, MARKS, self.merged.__getitem__, self.known.__getitem__), which, starts
+
+    def read_all(self, ids: pa.Array) -> pa.Array:
+        """The decoded strings of packed ids, a space after every one, none for none."""
+        return pa.array(map(self.read.__getitem__, ids.to_pylist()), pa.large_binary())
 
     def _string(self, ids: bytes) -> bytes:
         return (self.decode(array("I", ids)) + " ").encode("utf-8") if ids else b""
@@ -211,7 +217,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             n += (np.diff(at) // 4).tolist()
             of_ids += [hashlib.sha256(_little(flat[s:e])).hexdigest() for s, e in zip(at, at[1:])]
             # each chunk's string ends with the space that parts it from the next one
-            flat, at = joined(list(map(bpe.read.__getitem__, ids)), which, starts)
+            flat, at = joined(bpe.read_all(ids), which, starts)
             of_text += [hashlib.sha256(flat[s : max(s, e - 1)]).hexdigest() for s, e in zip(at, at[1:])]
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 

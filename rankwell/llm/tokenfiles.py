@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankwell.llm.bpe import byte_alphabet, library, plain_words
-from rankwell.llm.chunked import Kept, distinct, joined, parts
+from rankwell.llm.bpe import MARKS, byte_alphabet, library, plain_words
+from rankwell.llm.chunked import Kept, distinct, joined, made, parts
 from rankwell.llm.common import cut, new_path
 
 #: Bytes of text of a file, bytes of a row group and of a page, rows of a page.
@@ -64,9 +64,10 @@ class Encoder:
     def encode_all(self, texts: pa.Array, end: bytes = b"") -> pa.ListArray:
         """The ids of whole texts, `end` (packed) after each."""
         chunks, which, starts = distinct(texts)
-        made = [*map(self.known.__getitem__, chunks), end]
+        ids = made(chunks, MARKS, self.words.__getitem__, self.known.__getitem__)
+        ids = pa.concat_arrays([ids, pa.array([end], pa.large_binary())])
         which = np.insert(which, starts[1:], len(chunks))
-        flat, at = joined(made, which, starts + np.arange(len(starts)), 4)
+        flat, at = joined(ids, which, starts + np.arange(len(starts)), 4)
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
 
 
