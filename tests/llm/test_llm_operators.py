@@ -321,6 +321,25 @@ def test_language_forward_sums_all_segmentations():
     assert np.allclose(count[[0, 1, 2]], [2 * p["▁"] * p["a"] / both, 2 * p["▁a"] / both, 2 * p["▁"] * p["a"] / both])
 
 
+def test_language_totals_are_sums_over_words(monkeypatch):
+    vocabulary = langid.pieces(piece_path())
+    prob = np.random.default_rng(3).random((len(vocabulary) + 1, 3)) / 1000
+    model, known = langid.Model(vocabulary, ["a", "b", "c"], prob), langid.Pieces(vocabulary)
+    texts = ["The house, und DER 'Garten' 12abc34 d'eau\x1cx été... ΑΟΣ", "a" * 500, "", None, "12 !?", "ab " * 5000, "\U0001F600 naïve\xa0x", "The THE the, the"]
+    for kept in (langid.KEPT_BYTES, 100):  # with and without room for words of earlier texts
+        monkeypatch.setattr(langid, "KEPT_BYTES", kept)
+        monkeypatch.setattr(langid, "SUM_BYTES", 2000)
+        got = model.totals(pa.array(texts))
+        for t, row in zip(texts, got):
+            ws = langid.words(t)
+            assert np.allclose(row, langid.forward(known, prob, ws).sum(axis=0)) if ws else np.isnan(row).all()
+    for w in ("haus", "été"):
+        spans = {(i, j): p[0] for i, j, _, p in known.spans(["▁" + w])}
+        x = "▁" + w
+        want = {(i, j): known_number for j in range(1, len(x) + 1) for i in range(max(0, j - 8), j) if (known_number := vocabulary.index(x[i:j]) if x[i:j] in vocabulary else -1) >= 0 or j - i == 1}
+        assert spans == want
+
+
 def test_language_id(spark):
     en, de = "the house and the garden with water are nice".split(), "das haus und der garten mit wasser sind nicht".split()
     rng = random.Random(8)
