@@ -1,46 +1,59 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items by block-max WAND, hits are verified.
 
 Items fall in classes by their number of words, a class's size C being the power of two from there up; the passages of a
-class are the 2 C-word windows that start at every C-th word, so any run of C words lies whole in one. An item's score
+class are the 3 C-word windows that start at every C-th word, so any run of 2 C + 1 words lies whole in one: an item with
+as many words put in between as it has itself. An item's score
 for a passage is BM25 over the passage's distinct words, divided by what the item's own words give it. An item
 of N distinct five-word shingles has, for each of its distinct words but those that first stand among its last four,
 a shingle of its own that starts with the word; so a passage with 80 % of the shingles lacks at most floor(0.2 N) of
 the words, besides those last ones. Its score is therefore at least 1 less the share of the last ones and of the best
 floor(0.2 N) others, and the least such number over a class is its threshold: retrieval loses nothing that
-verification would accept. Document frequencies and the mean length are those of all items in the index.
+verification would accept. Document frequencies and the mean length are those of all items.
+
+The index is built by Spark in parts of a bounded size, each in one task, and every part is broadcast packed. A task reads
+its documents once: it takes some, queries all parts in turn, and keeps the best overlap for each document and item, so
+the number of parts changes no row. Parts stay unpacked in a worker while all of them are small enough. Items beyond
+PASS_BYTES of packed parts, some hundred MB of text, take further passes over the documents.
 
 Verification: at least 80 % of the shingles of question and answer together, and at least half of the words of the
 question and of the answer, each counted once, are in the passage.
 
 Defined results: null and wordless texts and items match nothing; an item shorter than a shingle has its word sequence
 as the one shingle; a document that has an item in several passages gets one row, of the best overlap; rows with the
-same item id are one item with several texts, of which the best counts; repeated documents give repeated rows.
+same item id are one item with several texts, of which the best counts, and so are those without an id; repeated
+documents give repeated rows; documents and words of any length are read whole; no items or no documents give no rows;
+only the named columns of both tables are read, so others may have any names.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankwell.llm.common import cut
+
 SHINGLE, LEAST, PART = 5, 0.8, 0.5
 K1, B, BLOCK = 1.2, 0.75, 8
 #: Ranges of items for which bounds are kept by word.
 RANGES = 32
 #: Words of documents that are matched together.
 TOGETHER = 50_000
-#: Bytes of items in one index; more items are queried in parts of that size.
-INDEX_BYTES = 2 << 20
+#: Words of documents that are matched before the next part of the index is unpacked, where not all parts are kept.
+GATHERED = 1_000_000
+#: Bytes of items in one part of the index, of unpacked parts that a worker keeps, and of packed parts that are sent at once.
+INDEX_BYTES, KEPT_BYTES, PASS_BYTES = 2 << 20, 64 << 20, 256 << 20
 #: Everything in ASCII but a-z and 0-9 separates words; texts are lower-cased before.
 _SEPARATORS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -159,31 +172,27 @@ class Index:
 class Matcher:
     """The indexes of all classes over one word numbering."""
 
-    def __init__(self, rows: list[tuple[int, str, str | None]]):
-        """rows: item id, question, answer."""
+    def __init__(self, rows: list[tuple[int, str, str | None]], df: dict[bytes, int] | None = None, total: int = 0, mean: float = 0.0):
+        """rows: item id, question, answer; and of all items the document frequencies, number and mean length, else those of the rows."""
         self.numbers: dict[bytes, int] = {}
         classes = defaultdict(list)
         for item, q, a in rows:
             q, a = ([self.numbers.setdefault(w, len(self.numbers) + 1) for w in tokens(x)] for x in (q, a))
             if n := len(q) + len(a):
                 classes[max(3, (n - 1).bit_length()), n < SHINGLE].append((item, q, a))
-        words = [q + a for items in classes.values() for _, q, a in items]
-        df = Counter(t for w in words for t in set(w))
-        idf = {t: math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-        mean = sum(map(len, words)) / max(1, len(words))
+        if df is None:
+            words = [q + a for items in classes.values() for _, q, a in items]
+            own, total, mean = Counter(t for w in words for t in set(w)), len(words), sum(map(len, words)) / max(1, len(words))
+        else:
+            own = {n: df[w] for w, n in self.numbers.items()}
+        idf = {t: math.log(1 + (total - n + 0.5) / (n + 0.5)) for t, n in own.items()}
         self.indexes = [Index(items, 1 << bits, idf, mean) for (bits, _), items in sorted(classes.items())]
         self.bounds = [x.range_bounds(len(self.numbers) + 1) for x in self.indexes]
 
     def match(self, texts: Iterable[str | None]) -> Iterator[dict[int, tuple[float, float, float]]]:
         """For each text the ids of the items it holds, with their overlaps."""
-        held, n = [], 0
-        for x in texts:
-            held.append(tokens(x))
-            n += len(held[-1])
-            if n >= TOGETHER:
-                yield from self._match(held)
-                held, n = [], 0
-        yield from self._match(held)
+        for held in _together([*map(tokens, texts)], TOGETHER):
+            yield from self._match(held)
 
     def _match(self, docs: list[list[bytes]]) -> list[dict[int, tuple[float, float, float]]]:
         found: list[dict[int, tuple[float, float, float]]] = [{} for _ in docs]
@@ -201,27 +210,27 @@ class Matcher:
         last = np.full(len(ids), -(1 << 40))
         last[order[1:][same]] = at[order[:-1][same]]
         for index, (best, bound) in zip(self.indexes, self.bounds):
-            # blocks are numbered through, with an empty one after each document
-            count = sizes // index.size + 2
+            # blocks are numbered through, with two empty ones after each document
+            count = sizes // index.size + 3
             base = np.concatenate([[0], np.cumsum(count)])
             n, own = base[-1] + 1, at // index.size
-            block, new, newer = base[doc] + own, last < own * index.size, last < (own - 1) * index.size
+            block = base[doc] + own
             # WAND's first test, for all passages at once: the sum of their distinct words' bounds. A word counts for the
-            # passage that starts with its block, and for the one before, unless it stood there already.
+            # passages that start with its block and with the two before, unless it stood there already.
+            first_in = [last < (own - k) * index.size for k in range(3)]
             gain = best[ids]
-            upper = np.bincount(block + 1, gain * new, n)[1:] + np.bincount(block, gain * newer, n)[1:]
-            may = np.concatenate([[False], upper >= index.least])
-            rows = np.flatnonzero(may[block + 1] | may[block])
+            upper = sum(np.bincount(block, gain * new, n + 1)[k : k + n - 1] for k, new in enumerate(first_in))
+            may = np.concatenate([[False, False], upper >= index.least])
+            rows = np.flatnonzero(may[block + 2] | may[block + 1] | may[block])
             if not len(rows):
                 continue
             # the same for each range of items, over what is left
-            gain, edges = bound[ids[rows]], np.searchsorted(block[rows], np.arange(n))
-            upper = _sums(gain * new[rows, None], edges)
-            upper[:-1] += _sums(gain * newer[rows, None], edges)[1:]
+            gain, edges = bound[ids[rows]], np.searchsorted(block[rows], np.arange(n + 2))
+            upper = sum(_sums(gain * new[rows, None], edges)[k : k + n - 1] for k, new in enumerate(first_in))
             for k in np.flatnonzero((upper >= index.range_least).any(axis=1)):
                 d = int(np.searchsorted(base, k, "right")) - 1
                 s = int(k - base[d]) * index.size
-                passage = [*map(self.numbers.get, docs[d][s : s + 2 * index.size], repeat(0))]
+                passage = [*map(self.numbers.get, docs[d][s : s + 3 * index.size], repeat(0))]
                 for i in index.retrieve(set(passage)):
                     if (got := index.verify(i, passage)) and got > found[d].get(index.items[i][0], (0.0,)):
                         found[d][index.items[i][0]] = got
@@ -237,13 +246,102 @@ def _sums(gain: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def _parts(items: DataFrame, item_col: str, question: Column, answer: Column) -> Iterator[list[tuple[int, str, str | None]]]:
-    """The items in lists of about INDEX_BYTES; the texts of one item id stay together, so that the best of them counts."""
+def _together(docs: list[list[bytes]], most: int) -> Iterator[list[list[bytes]]]:
+    """The documents in runs of about `most` words."""
+    held, n = [], 0
+    for d in docs:
+        held.append(d)
+        n += len(d)
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def index_parts(items: DataFrame, item_col: str, question: Column, answer: Column) -> DataFrame:
+    """Rows (part, blob, size): the parts of the index, packed, and their sizes unpacked."""
     t = items.select(F.col(item_col).cast("long").alias("item"), question.alias("q"), answer.alias("a"))
     size = F.octet_length(F.coalesce("q", F.lit(""))) + F.octet_length(F.coalesce("a", F.lit(""))) + 64
     n = max(1, math.ceil((t.agg(F.sum(size)).first()[0] or 0) / INDEX_BYTES))
-    for k in range(n):
-        yield [tuple(r) for r in t.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]
+    t = cut(t.withColumn("part", F.pmod(F.xxhash64("item", "q", "a"), F.lit(n)).cast("int")))
+
+    @F.arrow_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("ws", T.ArrayType(T.BinaryType()))]))
+    def counted(q: pa.Array, a: pa.Array) -> pa.Array:
+        words = [tokens(x) + tokens(y) for x, y in zip(q.to_pylist(), a.to_pylist())]
+        return pa.StructArray.from_arrays([pa.array([*map(len, words)], pa.int32()), pa.array([[*dict.fromkeys(w)] for w in words], pa.list_(pa.binary()))], ["n", "ws"])
+
+    words = cut(t.select("part", counted("q", "a").alias("c")).select("part", "c.n", "c.ws").filter("n > 0"))
+    all_ = words.agg(F.count(F.lit(1)).alias("k"), F.avg("n").alias("mean")).first()
+    total, mean = all_["k"], all_["mean"] or 0.0
+    each = words.select("part", F.explode("ws").alias("w"))
+    df = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    # both lists are bounded by a part's size
+    stats = each.distinct().join(df, "w").groupBy("part").agg(F.collect_list(F.struct("w", "df")).alias("dfs"))
+    rows = t.groupBy("part").agg(F.collect_list(F.struct("item", "q", "a")).alias("rows")).join(stats, "part")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                m = Matcher([(x["item"], x["q"], x["a"]) for x in r["rows"]], {x["w"]: x["df"] for x in r["dfs"]}, total, mean)
+                raw = pickle.dumps(m)
+                yield pa.RecordBatch.from_pylist([{"part": r["part"], "blob": zlib.compress(raw, 1), "size": len(raw)}], pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("size", pa.int64())]))
+
+    return cut(rows.mapInArrow(build, "part int, blob binary, size bigint"))
+
+
+class Parts:
+    """Parts of the index that are sent to the tasks together."""
+
+    def __init__(self) -> None:
+        self.shared: list[Broadcast] = []
+        self.packed = self.size = 0
+        self.keep = True
+
+    def match(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
+        """For each text the ids of the items it holds, in any of the parts, with their best overlaps."""
+        out = []
+        for held in _together([*map(tokens, texts)], TOGETHER if self.keep else GATHERED):
+            found: list[dict[int, tuple[float, float, float]]] = [{} for _ in held]
+            for shared in self.shared:
+                matcher, at = _unpacked(shared, self.keep), 0
+                for some in _together(held, TOGETHER):
+                    for own, got in zip(found[at : at + len(some)], matcher._match(some)):
+                        for item, overlaps in got.items():
+                            if overlaps > own.get(item, (0.0,)):
+                                own[item] = overlaps
+                    at += len(some)
+            out += found
+        return out
+
+
+_KEPT: dict[int, tuple[Broadcast, Matcher, int]] = {}
+
+
+def _unpacked(shared: Broadcast, keep: bool) -> Matcher:
+    """A part's matcher. A worker keeps KEPT_BYTES of them at most, those of its latest index."""
+    key = id(shared)
+    if key in _KEPT and _KEPT[key][0] is shared:
+        return _KEPT[key][1]
+    matcher, size = pickle.loads(zlib.decompress(shared.value[0])), shared.value[1]
+    if keep:
+        if sum(x[2] for x in _KEPT.values()) + size > KEPT_BYTES:
+            _KEPT.clear()
+        _KEPT[key] = shared, matcher, size
+    return matcher
+
+
+def _passes(items: DataFrame, item_col: str, question: Column, answer: Column) -> list[Parts]:
+    """The parts of the index in as few passes as PASS_BYTES allows; the driver sees one packed part at a time."""
+    out = [Parts()]
+    for r in index_parts(items, item_col, question, answer).toLocalIterator():
+        if out[-1].packed and out[-1].packed + len(r["blob"]) > PASS_BYTES:
+            out.append(Parts())
+        out[-1].shared.append(items.sparkSession.sparkContext.broadcast((bytes(r["blob"]), r["size"])))
+        out[-1].packed += len(r["blob"])
+        out[-1].size += r["size"]
+        out[-1].keep = out[-1].size <= KEPT_BYTES
+    return out
 
 
 def split_answer(text: Column) -> tuple[Column, Column]:
@@ -255,33 +353,37 @@ def split_answer(text: Column) -> tuple[Column, Column]:
 
 def contaminated(docs: DataFrame, items: DataFrame, question: Column, answer: Column, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Rows (id, item_id, overlap, question_overlap, answer_overlap) of documents with a passage that holds an item."""
-    d, out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), None
-    for rows in _parts(items, item_col, question, answer):
-        shared = docs.sparkSession.sparkContext.broadcast(Matcher(rows))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("row"))
+    passes, overlaps = _passes(items, item_col, question, answer), ["overlap", "question_overlap", "answer_overlap"]
+    if len(passes) > 1:  # a document's rows of different passes are told by a number of its own
+        d = cut(d.withColumn("row", F.monotonically_increasing_id()))
 
-        def find(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+    def finder(parts: Parts):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = shared.value.match(x.as_py() for x in b.column("text"))
-                hits = [(i, item, *o) for i, held in zip(b.column("id").to_pylist(), found) for item, o in held.items()]
-                cols = list(zip(*hits)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["id", "item_id", "overlap", "question_overlap", "answer_overlap"])
+                found = parts.match(b.column("text").to_pylist())
+                hits = [(i, row, item, *o) for i, row, held in zip(b.column("id").to_pylist(), b.column("row").to_pylist(), found) for item, o in held.items()]
+                cols = list(zip(*hits)) or [[]] * 6
+                kinds = [pa.int64()] * 3 + [pa.float64()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["id", "row", "item_id", *overlaps])
 
-        part = d.mapInArrow(find, "id long, item_id long, overlap double, question_overlap double, answer_overlap double")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("id", id_col)
+        return find
+
+    schema = "id long, row long, item_id long, overlap double, question_overlap double, answer_overlap double"
+    out = reduce(DataFrame.unionByName, [d.mapInArrow(finder(p), schema) for p in passes])
+    if len(passes) > 1:
+        out = out.groupBy("id", "row", "item_id").agg(F.max(F.struct(*overlaps)).alias("m")).select("id", "item_id", "m.*")
+    return out.select(F.col("id").alias(id_col), "item_id", *overlaps)
 
 
 def flags(docs: DataFrame, items: DataFrame, question: Column, answer: Column, text_col: str = "text", item_col: str = "item_id") -> Column:
     """A boolean column for `docs`: whether the text holds an item. The other columns never reach Python."""
 
-    def test(rows: list[tuple[int, str, str | None]]) -> Column:
-        shared = docs.sparkSession.sparkContext.broadcast(Matcher(rows))
-
-        @F.pandas_udf(T.BooleanType())
-        def holds(texts: pd.Series) -> pd.Series:
-            return pd.Series([bool(x) for x in shared.value.match(texts)], dtype=bool)
+    def test(parts: Parts) -> Column:
+        @F.arrow_udf(T.BooleanType())
+        def holds(texts: pa.Array) -> pa.Array:
+            return pa.array([bool(x) for x in parts.match(texts.to_pylist())], pa.bool_())
 
         return holds(F.col(text_col))
 
-    return reduce(Column.__or__, map(test, _parts(items, item_col, question, answer)))
+    return reduce(Column.__or__, map(test, _passes(items, item_col, question, answer)))

@@ -200,12 +200,11 @@ DECONTAM_SQL = r"""
  dw AS (SELECT row, list_filter(string_split(regexp_replace(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM ({docs})),
  dsh AS (SELECT row, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s, unnest(range(0, len(w) - 4)) AS pos FROM dw),
  hit AS (SELECT row, item_id, c, s, pos FROM dsh JOIN ish USING (s)),
- win AS (SELECT row, item_id, c, s, pos // c * c AS start FROM hit UNION ALL
-   SELECT row, item_id, c, s, (pos // c - 1) * c FROM hit WHERE pos >= c AND pos + 5 <= (pos // c + 1) * c),
+ win AS (SELECT row, item_id, c, s, (pos // c - k) * c AS start FROM hit, (SELECT unnest(range(0, 3)) AS k) WHERE pos // c >= k AND pos + 5 <= (pos // c - k + 3) * c),
  cand AS (SELECT row, item_id, c, start, count(DISTINCT s) AS n FROM win GROUP BY ALL),
  part AS (SELECT row, item_id, n / len(hs) AS overlap,
-   len(list_intersect(list_distinct(q), dw.w[start + 1:start + 2 * i.c])) / greatest(1, len(list_distinct(q))) AS question_overlap,
-   CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct(a), dw.w[start + 1:start + 2 * i.c])) / len(list_distinct(a)) END::DOUBLE AS answer_overlap
+   len(list_intersect(list_distinct(q), dw.w[start + 1:start + 3 * i.c])) / greatest(1, len(list_distinct(q))) AS question_overlap,
+   CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct(a), dw.w[start + 1:start + 3 * i.c])) / len(list_distinct(a)) END::DOUBLE AS answer_overlap
    FROM cand JOIN i USING (item_id) JOIN dw USING (row) WHERE n / len(hs) >= 0.8),
  held AS (SELECT * FROM part WHERE question_overlap >= 0.5 AND answer_overlap >= 0.5
    QUALIFY row_number() OVER (PARTITION BY row, item_id ORDER BY overlap DESC, question_overlap DESC, answer_overlap DESC) = 1)"""

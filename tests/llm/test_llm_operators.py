@@ -365,6 +365,26 @@ def test_line_dedup(spark):
     assert linededup.drop_boilerplate(d.limit(0)).count() == 0
 
 
+def contaminated_rows(spark, rows, items):
+    i = spark.createDataFrame(items, "item_id long, text string")
+    q, a = decontam.split_answer(F.col("text"))
+    return [tuple(r) for r in decontam.contaminated(docs(spark, rows), i, q, a).collect()]
+
+
+def test_items_with_words_between_are_found_at_every_offset():
+    """An item of n words with up to as many words put before its answer, against containment in the whole document."""
+    for n, extra in ((59, 30), (32, 30), (9, 9)):
+        words = [f"w{i}" for i in range(n)]
+        at = n - n // 4
+        body = words[:at] + [f"x{i}" for i in range(extra)] + words[at:]
+        matcher = decontam.Matcher([(1, " ".join(words[:at]), " ".join(words[at:]))])
+        shingle = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        share = len(shingle(words) & shingle(body)) / len(shingle(words))
+        texts = [" ".join([f"f{k}" for k in range(off)] + body + ["end"] * 70) for off in range(130)]
+        for got in matcher.match(texts):
+            assert (got.get(1, (0.0,))[0] == share) if share >= 0.8 else not got
+
+
 def contamination(spark, rows, items):
     i = spark.createDataFrame(items, "item_id long, text string")
     q, a = decontam.split_answer(F.col("text"))
@@ -392,6 +412,13 @@ def test_decontamination(spark, monkeypatch):
             base = set(index.items[rng.randrange(len(index.items))][1]) | {rng.randrange(1, 500) for _ in range(40)}
             score = lambda n: sum(g for t in base if t in index.postings for i, g in zip(*index.postings[t][:2]) if i == n)
             assert sorted(index.retrieve(base)) == [n for n in range(len(index.items)) if score(n) >= index.least]
+    assert contamination(spark, rows, []) == {} and contamination(spark, [], items) == {}
     monkeypatch.setattr(decontam, "INDEX_BYTES", 2000)
-    assert set(contamination(spark, rows, items)) == set(got)
-    assert contamination(spark, rows, []) == {}
+    every = [tuple(r) for r in got.values()]
+    parts = decontam.index_parts(spark.createDataFrame(items, "item_id long, text string"), "item_id", *decontam.split_answer(F.col("text")))
+    assert parts.count() > 5
+    for kept, sent in ((1 << 30, 1 << 30), (1, 1 << 30), (1, 3000)):  # parts kept, unpacked in turn, and in several passes
+        monkeypatch.setattr(decontam, "KEPT_BYTES", kept)
+        monkeypatch.setattr(decontam, "PASS_BYTES", sent)
+        again = contaminated_rows(spark, rows + rows[:3], items)
+        assert sorted(again, key=str) == sorted(every + [r for r in every if r[0] in (0, 1, 2)], key=str)
