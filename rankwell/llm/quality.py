@@ -1,15 +1,18 @@
 """Quality rules whose cutoffs carry a guarantee against rejecting good documents.
 
-Each rule rejects documents whose ratio is over a cutoff. The cutoffs come from fixed grids; for each stratum and rule the
-labelled good documents say how many of them each cutoff would reject. A cutoff is certified if the exact binomial
-test rejects "its false rejection rate is over RISK / number of rules": with k of n rejected, P(Bin(n, limit) <= k) is
-at most CONFIDENCE's error over the number of tests (Bonferroni over strata, rules and grid points; this is the
-Clopper-Pearson upper bound lying below the limit). The lowest certified cutoff applies; a stratum too small to certify
-any rejects nothing. So with the stated confidence no stratum loses over RISK of its good documents by these rules.
+Five ratios that are large where text is poor have cutoffs at each of seven levels, from lax to strict, all fixed before a
+label is seen; a level rejects a document if any ratio is over the level's cutoff, so a stricter level rejects whatever
+a laxer one does. For each stratum the labelled good documents say how many of them a level would reject. With k of
+n rejected, a level is certified if P(Bin(n, RISK) <= k) is at most the error; that is, if the exact (Clopper-Pearson) upper
+bound of its false rejection rate lies below RISK. Multiple tests: ERROR is divided by the number of strata (Bonferroni);
+within a stratum the levels are tested from the laxest on, up to the first that fails, which costs no error (fixed
+sequence). The strictest certified level applies; a stratum too small to certify any rejects nothing by these rules. So
+with probability 1 - ERROR no stratum loses over RISK of the good documents that pass the base rules.
 
 Defined results: null and wordless texts have all counts zero and fail the base rules; documents without a stratum
 form one of their own; a document with several labels is good if all say so; labels without a document count for
-nothing; repeated documents are rows of their own.
+nothing, without labels nothing is rejected beyond the base rules; repeated documents are rows of their own, and count
+as often; a very long text is measured whole; an empty table gives an empty one; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,17 +30,21 @@ from pyspark.sql import types as T
 
 from rankwell.llm.common import cut
 
-RISK, ERROR = 0.02, 0.05
+#: Share of a stratum's good documents that may be lost, and probability that it is more in any stratum.
+RISK, ERROR = 0.03, 0.05
 #: Base rules.
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Rules and their cutoffs, fixed before any label is seen; all are high where text is poor.
-GRIDS = {
-    "symbol_ratio": [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0],
-    "word_length": [8.0, 9.0, 10.0, 12.0, 15.0, 20.0],
-    "short_words": [0.3, 0.35, 0.4, 0.5],
-    "dup_line_ratio": [0.01, 0.02, 0.05, 0.1, 0.2, 0.3],
-    "repeat_ratio": [0.05, 0.1, 0.15, 0.2, 0.25],
-}
+#: Rules, and their cutoffs at each level.
+RULES = ("symbol_ratio", "word_length", "short_words", "dup_line_ratio", "repeat_ratio")
+LEVELS = (
+    (1.00, 20.0, 0.50, 0.30, 0.28),
+    (0.50, 15.0, 0.40, 0.20, 0.25),
+    (0.30, 12.0, 0.37, 0.10, 0.22),
+    (0.20, 10.0, 0.35, 0.08, 0.20),
+    (0.10, 9.0, 0.33, 0.05, 0.18),
+    (0.05, 8.5, 0.30, 0.04, 0.16),
+    (0.02, 8.0, 0.28, 0.03, 0.14),
+)
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -98,46 +106,58 @@ def ratio(rule: str) -> Column:
     return F.when(words > 0, value).otherwise(F.lit(0.0))
 
 
+def level() -> Column:
+    """The laxest level that rejects the document, from 0; the number of levels if none does."""
+    out = F.lit(len(LEVELS))
+    for at in reversed(range(len(LEVELS))):
+        over = reduce(Column.__or__, [ratio(r) > F.lit(c) for r, c in zip(RULES, LEVELS[at])])
+        out = F.when(over, F.lit(at)).otherwise(out)
+    return out
+
+
 def certified(n: int, k: int, limit: float, error: float) -> bool:
-    """Whether P(Bin(n, limit) <= k) <= error, summed exactly from the largest term down."""
+    """Whether P(Bin(n, limit) <= k) <= error: the terms from the largest, the k-th, down to where they no longer count."""
     if n == 0 or k >= n * limit:
         return False
-    log_term = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(limit) + (n - i) * math.log1p(-limit) for i in range(k + 1)]
-    top = max(log_term)
-    return top + math.log(math.fsum(math.exp(x - top) for x in log_term)) <= math.log(error)
+    term = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(limit) + (n - k) * math.log1p(-limit)
+    total = share = 1.0
+    for i in range(k, 0, -1):
+        share *= i * (1 - limit) / ((n - i + 1) * limit)
+        total += share
+        if share < 1e-17 * total:
+            break
+    return term + math.log(total) <= math.log(error)
+
+
+def strictest(n: int, rejected: list[int], strata: int) -> int:
+    """The strictest certified level, -1 if there is none; `rejected` are the good documents that each level rejects."""
+    at = -1
+    while at + 1 < len(rejected) and certified(n, rejected[at + 1], RISK, ERROR / strata):
+        at += 1
+    return at
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "stratum", quality: str = "quality") -> DataFrame:
-    """Rows (stratum, rule, cutoff) of the certified cutoffs. `measured` has the id, the stratum and the counts."""
+    """Rows (stratum, certified): the strictest certified level of each stratum with a good document. `measured` has the id, the stratum, the counts and the level."""
     good = labels.groupBy(F.col(id_col).alias("id")).agg(F.min(quality).alias("q")).filter("q >= 1").select("id")
     held = measured.filter(~base_failed()).join(good, F.col(id_col) == F.col("id"), "left_semi")
-    sums = [F.count(F.lit(1)).alias("n")] + [F.sum((ratio(r) > c).cast("long")).alias(f"{r}:{k}") for r, grid in GRIDS.items() for k, c in enumerate(grid)]
-    counts = cut(held.groupBy(stratum).agg(*sums))
-    tests = max(1, counts.count()) * sum(map(len, GRIDS.values()))
+    sums = [F.sum((F.col("level") <= k).cast("long")).alias(f"k{k}") for k in range(len(LEVELS))]
+    counts = cut(held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *sums))
+    strata = max(1, counts.count())
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for row in b.to_dict("records"):
-                for rule, grid in GRIDS.items():
-                    # certified or not falls with k, and k with the cutoff
-                    c = next((c for k, c in enumerate(grid) if certified(int(row["n"]), int(row[f"{rule}:{k}"]), RISK / len(GRIDS), ERROR / tests)), None)
-                    if c is not None:
-                        out.append((row[stratum], rule, c))
-            yield pd.DataFrame(out, columns=["stratum", "rule", "cutoff"])
+            rejected = b[[f"k{k}" for k in range(len(LEVELS))]].fillna(0).astype("int64").to_numpy().tolist()
+            yield pd.DataFrame({"stratum": b[stratum], "certified": [strictest(int(n), k, strata) for n, k in zip(b["n"], rejected)]})
 
-    return counts.mapInPandas(choose, "stratum string, rule string, cutoff double")
+    return counts.mapInPandas(choose, "stratum string, certified int")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """Rows (id, the five counts, base_failed, kept)."""
+    """Rows (id, the five counts, base_failed, kept, level, certified): `level` is the laxest that rejects the document (7: none), `certified` its stratum's (-1: none)."""
     d = docs.select(F.col(id_col), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), measures(F.col(text_col)).alias("m"))
-    m = cut(d.select(id_col, "stratum", "m.*"))
-    limits = cut(cutoffs(m, labels, id_col).groupBy("stratum").pivot("rule", list(GRIDS)).agg(F.min("cutoff")))
+    m = cut(d.select(id_col, "stratum", "m.*").withColumn("level", level()))
     # one narrow row a stratum; Spark broadcasts it by its size, else shuffles and splits hot strata
-    out = m.join(limits, "stratum", "left")
-    over = [F.coalesce(ratio(r) > F.col(r), F.lit(False)) for r in GRIDS]
-    rejected = over[0]
-    for x in over[1:]:
-        rejected = rejected | x
-    return out.select(id_col, *_COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
+    out = m.join(cut(cutoffs(m, labels, id_col)), "stratum", "left").withColumn("certified", F.coalesce("certified", F.lit(-1)))
+    rejected = F.col("level") <= F.col("certified")
+    return out.select(id_col, *_COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"), "level", "certified")

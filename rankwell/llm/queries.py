@@ -117,15 +117,14 @@ def vocabulary_path() -> str:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and verdict of every document, strata by its language."""
+    """Counts and verdict of every document, its level and the certified one; strata by its language."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def _op5_sql() -> str:
-    """The same counts, bounds and cutoffs. The binomial tail is summed over all terms."""
-    grid = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in quality.GRIDS.items() for c in cs)
-    size, rules = sum(map(len, quality.GRIDS.values())), len(quality.GRIDS)
-    limit = quality.RISK / rules
+    """The same counts, levels and bounds. The binomial tail is summed over all terms."""
+    over = " ".join(f"WHEN {' OR '.join(f'{r} > {c!r}' for r, c in zip(quality.RULES, cs))} THEN {k}" for k, cs in enumerate(quality.LEVELS))
+    risk = f"{quality.RISK!r}::DOUBLE"
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT row, doc_id, stratum, text, regexp_extract_all(text, '[^\x09-\x0D\x20]+') AS w,
@@ -136,19 +135,18 @@ cover AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i
 m AS (SELECT row, doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN cover USING (row)),
-b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-r AS (SELECT row, doc_id, stratum, base_failed, unnest(['symbol_ratio', 'word_length', 'short_words', 'dup_line_ratio', 'repeat_ratio']) AS rule,
-  unnest(CASE WHEN n_words = 0 THEN [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] ELSE [n_symbols / n_words, word_chars / n_words, n_words / greatest(word_chars, 1), n_dup_lines / n_words, n_repeat_words / n_words] END) AS ratio FROM b),
-grid(rule, cutoff) AS (VALUES {grid}),
+r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, greatest(n_words, 1)::DOUBLE AS per,
+  n_symbols / per AS symbol_ratio, word_chars / per AS word_length, n_words / greatest(word_chars, 1)::DOUBLE AS short_words, n_dup_lines / per AS dup_line_ratio, n_repeat_words / per AS repeat_ratio FROM m),
+b AS (SELECT *, CASE {over} ELSE {len(quality.LEVELS)} END::INTEGER AS level FROM r),
 good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) >= 1),
-c AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (ratio > cutoff) AS k FROM r SEMI JOIN good USING (doc_id) JOIN grid USING (rule) WHERE NOT base_failed GROUP BY 1, 2, 3),
-s AS (SELECT greatest(1, count(DISTINCT stratum)) * {size} AS tests FROM c),
-cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM c, s WHERE k < n * {limit!r} AND
-  list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({limit!r}::DOUBLE) + (n - i) * ln(1 - {limit!r}::DOUBLE)))) <= {quality.ERROR!r} / tests
-  GROUP BY 1, 2),
-rejected AS (SELECT DISTINCT row FROM r JOIN cut USING (stratum, rule) WHERE ratio > cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected.row IS NULL AS kept
-FROM b LEFT JOIN rejected USING (row)
+c AS (SELECT stratum, lv, count(*) AS n, count(*) FILTER (level <= lv) AS k FROM b SEMI JOIN good USING (doc_id), (SELECT unnest(range(0, {len(quality.LEVELS)})) AS lv) WHERE NOT base_failed GROUP BY 1, 2),
+s AS (SELECT greatest(1, count(DISTINCT stratum)) AS strata FROM c),
+failed AS (SELECT stratum, min(lv) AS lv FROM c, s WHERE NOT (k < n * {risk} AND
+  list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) <= {quality.ERROR!r} / strata) GROUP BY 1),
+cut AS (SELECT DISTINCT c.stratum, coalesce(failed.lv, {len(quality.LEVELS)}) - 1 AS certified FROM c LEFT JOIN failed ON failed.stratum = c.stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND level > coalesce(certified, -1) AS kept,
+  level, coalesce(certified, -1)::INTEGER AS certified
+FROM b LEFT JOIN cut USING (stratum)
 """
 
 

@@ -211,6 +211,16 @@ def test_certified_bound():
     assert not quality.certified(0, 0, 0.02, 0.05)
 
 
+def test_certified_levels():
+    """Levels are tested in turn, the error is shared by the strata, and at the true rate RISK the guarantee holds."""
+    assert quality.strictest(0, [0] * 7, 1) == quality.strictest(50, [0] * 7, 1) == -1
+    assert quality.strictest(200, [0, 0, 40, 0, 0, 0, 0], 4) == 1 and quality.strictest(10_000, [0] * 7, 4) == 6
+    assert quality.strictest(110, [0] * 7, 1) == 6 and quality.strictest(110, [0] * 7, 4) == -1
+    rng = np.random.default_rng(1)
+    lost = sum(quality.strictest(400, [int(k)] * 7, 1) >= 0 for k in rng.binomial(400, quality.RISK + 1e-9, 4000))
+    assert lost <= 4000 * quality.ERROR * 1.2
+
+
 def test_quality_keeps_good(spark):
     rng = random.Random(4)
     good = [(i, " ".join(f"word{rng.randrange(3000)}" for _ in range(60)), "en", "s") for i in range(3000)]
@@ -219,7 +229,9 @@ def test_quality_keeps_good(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(3000)] + [(5000, 0), (5000, 1), (77777, 1)], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality.judge(d, labels).collect()}
     assert all(got[i].kept for i in range(3000)) and not any(got[5000 + i].kept for i in range(200))
-    assert got[9000].base_failed and not got[9001].kept
+    assert got[9000].base_failed and not got[9001].kept and quality.judge(d.limit(0), labels).count() == 0
+    again = quality.judge(d.unionByName(docs(spark, [(1, good[1][1], "en", "s"), (8000, "word " * 200_000, "en", "s")])), labels).collect()
+    assert [r.kept for r in again if r.doc_id == 1] == [True, True] and next(r for r in again if r.doc_id == 8000).n_repeat_words == 200_000
     few = {r.doc_id: r for r in quality.judge(d, labels.limit(5)).collect()}
     assert few[5001].kept  # nothing is certified by five documents
 
