@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are taken apart together; a single longer text is taken whole.
-TOGETHER = 6 << 20
+TOGETHER = 2 << 20
 
 
 class Kept(dict):
@@ -40,6 +40,7 @@ def parts(texts: pa.Array, most: int = TOGETHER) -> Iterator[pa.Array]:
         n = max(1, int(np.searchsorted(ends, before + most, "right")) - at)
         yield texts.slice(at, n)
         at += n
+    pa.default_memory_pool().release_unused()
 
 
 def distinct(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
