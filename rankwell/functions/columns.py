@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"[-+]?([0-9]+([.][0-9]+)?|[.][0-9]+)"
+#: The first number of a text, and words of yes and no; fixed values.
+NUMBER = r"[-+]?(?:\d+(?:\.\d+)?|\.\d+)"
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y", "t"), ("false", "0", "no", "n", "f")
 #: Units of a second; fixed values.
 UNITS = {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9, "hr": 1 / 3600}

@@ -74,8 +74,8 @@ class Histogram:
         share = np.divide(np.maximum(overlap, 0), width, out=np.zeros_like(overlap), where=width > 0)
         self.counts, self.edges = share @ self.counts * self.decay, new
 
-    def add(self, score: float, s: float) -> None:
-        """Count a score. The range grows when the score or the threshold s is beyond it, and its lowest bin when s is beyond the second border."""
+    def _grow(self, score: float, s: float) -> None:
+        """The range grows when the score or the threshold s is beyond it, and its lowest bin when s is beyond the second border."""
         top, bins = max(score, s), len(self.counts)
         if top > self.edges[-1]:
             self.rebin(np.concatenate([self.edges[:1], np.linspace(self.edges[1], top * self.enlarge, bins)]))
@@ -83,8 +83,21 @@ class Histogram:
             last = s * self.enlarge if s >= self.edges[-1] else self.edges[-1]
             self.rebin(np.concatenate([self.edges[:1], np.linspace(s, last, bins)]))
             self.counts[self.counts <= 0] = 1e-5
-        self.counts[min(int(np.searchsorted(self.edges[1:], score)), bins - 1)] += 1
-        self.total += 1
+
+    def add(self, score: float, s: float) -> None:
+        """Count a score."""
+        self.add_range(score, score, 1, s)
+
+    def add_range(self, low: float, high: float, n: float, s: float) -> None:
+        """Count n scores of which only the range is known: as if spread evenly over it, those below the lowest border in the first bin."""
+        self._grow(high, s)
+        if high > low:
+            held = np.maximum(np.minimum(high, self.edges[1:]) - np.maximum(low, self.edges[:-1]), 0.0)
+            held[0] += max(0.0, min(high, self.edges[0]) - low)
+            self.counts += n * held / (high - low)
+        else:
+            self.counts[min(int(np.searchsorted(self.edges[1:], high)), len(self.counts) - 1)] += n
+        self.total += n
 
     def subtract(self, other: Histogram) -> None:
         """Take another histogram's counts out, dealt over this one's bins, not below 0."""

@@ -60,6 +60,15 @@ def fit_trees(train: DataFrame, features: list[str], label: str, depth: int = 7,
     return Pipeline(stages=[vector, trees]).fit(train)
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a fitted model to a folder that all executors share."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def rmse(df: DataFrame, predicted: str, label: str) -> DataFrame:
     gap = F.col(predicted) - F.col(label)
     return df.agg(F.sqrt(F.avg(gap * gap)).alias("rmse"))

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from rankwell.functions.columns import distance
 from rankwell.operators.order import draw_order, exact_sample
 from rankwell.sources.files import NODES
-from rankwell.sources.shared import cut
+from rankwell.sources.shared import cut, new_path
 
 #: Centroids that the index builder accepts; the dendrogram's work grows with the square of it.
 MAX_CLUSTERS = 2000
+#: Bytes of a row group of stored members.
+ROW_GROUP = 8 << 20
 
 
 def paths(nodes: DataFrame) -> DataFrame:
@@ -74,6 +76,13 @@ def mean_vectors(df: DataFrame, by: str, vector: str) -> DataFrame:
     return means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
+def store(members: DataFrame, path: str | None = None) -> DataFrame:
+    """`members` written by leaf and draw order, by default below the shared folder, and read back: a range of a leaf's order is in few row groups."""
+    path = path or new_path(members.sparkSession, "members")
+    members.repartitionByRange("leaf_id", "ord").sortWithinPartitions("leaf_id", "ord").write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    return members.sparkSession.read.parquet(path)
+
+
 def kmeans(elements: DataFrame, element_id: str, vector: Column, clusters: int, subsample: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Centroids fitted on a subsample of exact size, and all elements with their cluster: (cluster, centroid), (element_id, cluster, dist)."""
     if clusters > MAX_CLUSTERS:
@@ -92,18 +101,26 @@ def average_linkage(points: np.ndarray) -> list[tuple[int, int, float, int]]:
     Distances to a merged cluster are the size-weighted means of those to its parts.
     """
     n = len(points)
-    dist = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    square = (points * points).sum(axis=1)
+    dist = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * points @ points.T, 0))
     np.fill_diagonal(dist, np.inf)
     name, size, merges = list(range(n)), np.ones(n), []
+    near = dist.min(axis=1) if n else np.empty(0)  # each one's distance to its nearest, which only a merge changes
     for step in range(n - 1):
-        a, b = sorted(map(int, np.unravel_index(np.argmin(dist), dist.shape)))
+        a = int(near.argmin())
+        a, b = sorted((a, int(dist[a].argmin())))
         height, total = dist[a, b], size[a] + size[b]
         x, y = sorted((name[a], name[b]))
         merges.append((x, y, float(height), int(total)))
         row = (size[a] * dist[a] + size[b] * dist[b]) / total
+        again = (near == dist[a]) | (near == dist[b])
         dist[a], dist[:, a] = row, row
         dist[b], dist[:, b] = np.inf, np.inf
         dist[a, a] = np.inf
+        near = np.minimum(near, dist[a])
+        again[a] = True
+        near[again] = dist[again].min(axis=1)
+        near[b] = np.inf
         name[a], size[a] = n + step, total
     return merges
 
@@ -126,8 +143,6 @@ def dendrogram(centroids: DataFrame) -> DataFrame:
 
 def build_index(elements: DataFrame, element_id: str, vector: Column, clusters: int, subsample: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Nodes and members of a cluster index: k-means, dendrogram, and every element in its leaf in draw order."""
-
-
     centroids, assigned = kmeans(elements, element_id, vector, clusters, subsample, seed)
     assigned = cut(assigned.select(F.col("cluster").alias("leaf_id"), "element_id"))
     sizes = assigned.groupBy(F.col("leaf_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))

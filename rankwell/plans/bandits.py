@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankwell.functions.columns import relu
-from rankwell.operators import exact, experiment
+from rankwell.operators import exact, experiment, tree
 from rankwell.operators.bandit import Policy, budgeted_top_k
 from rankwell.operators.order import draw_order
 from rankwell.operators.scoring import relu_scorer
@@ -21,8 +21,8 @@ def index(spark, sf_dir, by_score: bool = False):
     """Members (leaf_id, ord, element_id, value) and nodes of the tree: root, types, hours of a type."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("element_id"), "value", "event_type", F.hour("ts").alias("hour"))
     types = dense_index(e, "event_type").select(F.col("name").alias("event_type"), F.col("idx").cast("int").alias("t"))
-    e = e.join(F.broadcast(types), "event_type").withColumn("leaf_id", F.col("t") * 24 + F.col("hour") + 1000)  # a few types
-    members = cut(draw_order(e.select("leaf_id", "element_id", "value"), "element_id", ["leaf_id"]))
+    e = e.join(types, "event_type").withColumn("leaf_id", F.col("t") * 24 + F.col("hour") + 1000)
+    members = tree.store(draw_order(e.select("leaf_id", "element_id", "value"), "element_id", ["leaf_id"]))
     sizes = members.groupBy("leaf_id").agg(F.count(F.lit(1)).alias("size"))
     leaves = sizes.select(F.col("leaf_id").alias("node_id"), (F.floor((F.col("leaf_id") - 1000) / 24) + 1).cast("int").alias("parent_id"), ((F.col("leaf_id") - 1000) % 24).alias("ordinal"), F.lit(True).alias("is_leaf"), "size")
     inner = types.select((F.col("t") + 1).alias("node_id"), F.lit(0).alias("parent_id"), F.col("t").alias("ordinal"), F.lit(False).alias("is_leaf"), F.lit(0).cast("long").alias("size"))
@@ -58,8 +58,21 @@ def approx_topk_scan(spark, sf_dir):
     return run(spark, sf_dir, Policy("scan"))[0]
 
 
-@query()
+TYPES = "SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS t FROM (SELECT DISTINCT event_type FROM events)"
+
+
+@query(
+    f"""WITH drawn AS (SELECT event_id, greatest(0.0, value) AS score,
+ row_number() OVER (ORDER BY t, hour(ts), md5('42:' || event_id), event_id) AS n FROM events JOIN ({TYPES}) USING (event_type))
+SELECT event_id, score FROM drawn WHERE n <= greatest(1, (SELECT count(*) // 10 FROM events)) ORDER BY score DESC, event_id LIMIT 100"""
+)
 def approx_topk_budget(spark, sf_dir):
+    """The answer of a scan in leaf and draw order after a tenth of the scorer calls."""
+    return run(spark, sf_dir, Policy("scan"), 0.1)[0]
+
+
+@query()
+def approx_topk_budget_epsgreedy(spark, sf_dir):
     """The epsilon-greedy answer after a tenth of the scorer calls."""
     return run(spark, sf_dir, HISTOGRAMS, 0.1, 5)[0]
 

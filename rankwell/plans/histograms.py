@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankwell.functions import histogram as h
-from rankwell.functions.columns import epsilon, ucb
+from rankwell.functions.columns import epsilon, relu, ucb
 from rankwell.plans.base import SCORED, events, query, table
 
 BINS, WIDTH, S_K = 8, 62.5, 100.0
@@ -99,10 +99,29 @@ def average_gain(spark, sf_dir):
     return gains(spark, sf_dir).agg(F.round(F.sum(F.col("gain") * F.col("n")) / F.sum("n"), 6).alias("gain"))
 
 
-@query(f"WITH {GAIN} SELECT max(gain) > min(gain) AS flatten FROM gains")
+def _gains_sql(by: str) -> str:
+    """Gains of the histograms of each group, over a threshold of 100."""
+    part = "(hi - greatest(lo, 100)) / (hi - lo) * ((greatest(lo, 100) + hi) / 2)"
+    return f"""SELECT {by}, sum(CASE WHEN hi > 100 THEN c / n * ({part}) ELSE 0 END) AS gain FROM
+ (SELECT {by}, c, sum(c) OVER (PARTITION BY {by}) AS n, bin * 62.5::DOUBLE AS lo, (bin + 1) * 62.5::DOUBLE AS hi FROM
+  (SELECT {by}, least(7, greatest(0, ceil(greatest(0.0, value) / 62.5)::BIGINT - 1)) AS bin, count(*)::DOUBLE AS c FROM (SELECT *, hour(ts) AS hour FROM events) GROUP BY {by}, bin)) GROUP BY {by}"""
+
+
+@query(
+    f"""WITH types AS ({_gains_sql("event_type")}), leaves AS ({_gains_sql("event_type, hour")}),
+ way AS (SELECT event_type FROM types ORDER BY gain DESC, event_type LIMIT 1)
+SELECT max(gain) > max(gain) FILTER (event_type = (SELECT event_type FROM way)) AS flatten FROM leaves"""
+)
 def fallback1_condition(spark, sf_dir):
-    """Whether the tree would be flattened if greedy descent ended in the leaf of the least gain."""
-    return gains(spark, sf_dir).agg((F.max("gain") > F.min("gain")).alias("flatten"))
+    """Whether the tree of types and hours would be flattened: greedy descent, by the types' histograms and then the hours', misses the leaf of the largest gain."""
+    edges = F.array(*[F.lit(i * WIDTH) for i in range(BINS + 1)])
+    e = table(spark, sf_dir, "events").select("event_type", F.hour("ts").alias("hour"), h.bin_of(relu(F.col("value")), edges).alias("bin"))
+    leaves = e.groupBy("event_type", "hour").agg(F.array(*[F.sum((F.col("bin") == i).cast("double")) for i in range(BINS)]).alias("counts"))
+    types = leaves.groupBy("event_type").agg(F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(BINS)]).alias("counts"))
+    gain = h.gain(edges, F.col("counts"), F.lit(S_K)).alias("gain")
+    way = types.select("event_type", gain).orderBy(F.desc("gain"), "event_type").limit(1).select("event_type", F.lit(True).alias("on_way"))
+    d = leaves.select("event_type", gain).join(way, "event_type", "left")
+    return d.agg((F.max("gain") > F.max(F.when(F.col("on_way"), F.col("gain")))).alias("flatten"))
 
 
 @query(f"WITH {GAIN} SELECT sum(gain * n) / sum(n) >= max(gain) AS uniform FROM gains")

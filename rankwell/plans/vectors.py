@@ -68,7 +68,7 @@ def synthetic_source(spark, sf_dir):
     """For every event a draw from the normal distribution of its type."""
     e = table(spark, sf_dir, "events")
     shape = e.groupBy("event_type").agg(F.avg("value").alias("mu"), F.stddev("value").alias("sd"))
-    d = numbered(e.select("event_id", "event_type"), [F.asc("event_id")], ["event_type"], "n").join(F.broadcast(shape), "event_type")
+    d = numbered(e.select("event_id", "event_type"), [F.asc("event_id")], ["event_type"], "n").join(shape, "event_type")
     # from two hashes of the id, so that a retried task draws the same
     u = [(F.pmod(F.xxhash64("event_id", F.lit(s)), F.lit(1 << 40)) + 0.5) / float(1 << 40) for s in (1, 2)]
     normal = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * F.pi() * u[1])

@@ -155,7 +155,7 @@ def import_index(spark: SparkSession, root: dict) -> tuple[DataFrame, DataFrame]
         found.append(numbered(ids, [F.asc("at")]).select(F.lit(leaf).alias("leaf_id"), "element_id", (F.col("rn") - 1).alias("ord")))
     for path, leaves in tables.items():
         names = spark.createDataFrame(leaves, "own int, leaf_id int")
-        found.append(spark.read.parquet(path).join(F.broadcast(names), "leaf_id").select(F.col("own").alias("leaf_id"), "element_id", "ord"))
+        found.append(spark.read.parquet(path).join(names, "leaf_id").select(F.col("own").alias("leaf_id"), "element_id", "ord"))
     there = reduce(DataFrame.unionByName, found)
     sizes = there.groupBy(F.col("leaf_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
     counted = own.join(sizes, "node_id", "left").withColumn("size", F.coalesce("n", "size")).select(own.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset a session of one machine (tests, bench) gets a temporary folder; a cluster has to name one.
+
+    What operators write there lives below `rankwell` and in Spark's checkpoint folder, and may be removed when the session
+    has ended: nothing there is read by a later one. Setting spark.cleaner.referenceTracking.cleanCheckpoints lets Spark
+    remove checkpoints as soon as no plan refers to them.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + os.path.abspath(tempfile.mkdtemp(prefix="spark-shared-"))
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import tarfile
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankwell.functions.columns import relu
-from rankwell.operators import clean, exact, experiment, order, scoring, tree
-from rankwell.operators.bandit import Policy, budgeted_top_k
+from rankwell.operators import bandit, clean, exact, experiment, order, scoring, tree
+from rankwell.operators.bandit import Policy, budgeted_top_k, round_sizes
 from rankwell.sources import files
 from rankwell.streaming.anytime import StreamingTopK
 
@@ -203,3 +204,107 @@ def test_streaming_top_k(spark, tmp_path):
     q.stop()
     want = sorted(((i * 37 % 101, -i) for i in range(150)), reverse=True)[:7]
     assert [(r.score, -r.element_id) for r in top.answer().collect()] == want
+
+
+@pytest.fixture(scope="module")
+def normal_index(spark):
+    from rankwell.sources.synthetic import normals
+
+    elements, shape = normals(spark, 20, 1000, (0.0, 20.0), (0.0, 5.0), 7)
+    members = tree.store(order.draw_order(elements, "element_id", ["leaf_id"]))
+    nodes = tree.dendrogram(shape.select("cluster", "centroid")).withColumn("size", F.when(F.col("is_leaf"), 1000).otherwise(0).cast("bigint"))
+    return members, nodes
+
+
+def test_rounds_and_overheads(normal_index):
+    members, nodes = normal_index
+    found, trace, spent = budgeted_top_k(members, nodes, relu(F.col("value")), 50, 2000)
+    assert [t["itr"] for t in trace] == list(accumulate(round_sizes(2000, 10, 200))) and trace[-1]["itr"] == 2000
+    assert min(spent[x] for x in ("algo", "pq", "scorer", "other")) >= 0 and sorted(map(tuple, found.collect())) == sorted(trace[-1]["answer"])
+
+
+def simulated(v, rows, policy, k, budget, seed):
+    """The controller's choices with numpy in Spark's place: precision of the answer. `v` has a row of scores for each leaf."""
+    root = bandit.tree(rows, policy)
+    control = bandit.Controller(root, policy, v.size, seed)
+    learns, best, itr, s = policy.kind != "uniform", np.empty(0), 0, 0.0
+    for n in round_sizes(budget, 10, bandit.TOUCH * len(v) if learns else 1):
+        control.check(itr, n, s)
+        taken = control.touch(n) if learns and not itr else control.allot(n, 4, itr, s)
+        leaves, stats = {x.number: x for x in control.root.leaves()}, {}
+        for leaf, m in taken.items():
+            x = v[leaf, leaves[leaf].drawn : leaves[leaf].drawn + m]
+            leaves[leaf].drawn += m
+            counts, edges = np.histogram(x, policy.bins, (x.min(), x.max()))
+            stats[leaf] = {"n": m, "total": x.sum(), "top": x.max(), "bins": list(zip(edges, edges[1:], counts))}
+            best = np.sort(np.concatenate([best, x]))[::-1][:k]
+        s, itr = best[-1] if len(best) == k else 0.0, itr + sum(taken.values())
+        control.learn(stats, s)
+        control.prune()
+    return (best >= np.sort(v, axis=None)[-k]).sum() / k
+
+
+def test_learning_beats_uniform_draws():
+    """A tenth of the calls on normals of different means, with the default rounds and arms, over five data sets."""
+    share = {"uniform": 0.0, "epsgreedy": 0.0, "ucb": 0.0}
+    for seed in (1, 2, 3, 7, 42):
+        rng = np.random.default_rng(seed)
+        mu, sd = rng.uniform(0, 20, 20), rng.uniform(0, 5, 20)
+        v = np.maximum(0, rng.normal(mu[:, None], sd[:, None], (20, 2500)))
+        inner = {20 + i: ab[:2] for i, ab in enumerate(tree.average_linkage(mu[:, None]))}
+        rows = [(38, None, 0, 0)] + [(c, i, o, 2500 if c < 20 else 0) for i, ab in inner.items() for o, c in enumerate(ab)]
+        for policy in (Policy("uniform"), Policy("epsgreedy"), Policy("ucb", count="child", init=10.0)):
+            share[policy.kind] += simulated(v, rows, policy, 100, 5000, 1) / 5
+    assert min(share["epsgreedy"], share["ucb"]) >= 2.5 * share["uniform"], share
+
+
+def test_experiment_config(spark, normal_index, tmp_path):
+    members, nodes = normal_index
+    ranked, head = experiment.ground_truth(members, scoring.relu_scorer("value"), 20)
+    experiment.write_ground_truth(ranked, head, f"file://{tmp_path}/gt")
+    ranked, again = experiment.read_ground_truth(spark, f"file://{tmp_path}/gt")
+    assert again["n"] == 20_000 and len(again["gt_solution"]) == 20 and set(again) == {"gt_solution", "n", "index_time"}
+    base = {"scoring_params": {"type": "relu", "delay": 0}, "sampling_params": {"type": "synthetic"}, "budget": 400, "reps": 2, "k": 20, "index_params": {"file": "x"}, "batch_size": 10, "skip_scoring_fn": False, "fallback_params": {"enabled": False}}
+    eps = {"type": "EpsGreedy", "alpha": 0.5, "min": 0, "max": 1.0, "num_bins": 8, "rebin_decay": 1.0, "enlarge_max_factor": 1.1, "enlarge_lowest": True, "subtract": True}
+    configs = {"Eps": base | {"algo_params": eps, "sample_method": "noreplace"}, "Reverse": base | {"algo_params": {"type": "Scan"}, "sample_method": "reversescan", "skip_scoring_fn": True, "reps": 1}}
+    (tmp_path / "c.json").write_text(json.dumps(configs))
+    out = experiment.run_config(spark, f"file://{tmp_path}/c.json", lambda c: (members, nodes), lambda c: scoring.relu_scorer("value", c["scoring_params"]["delay"]), ranked, rounds=3)
+    assert set(out["Eps"]) == {*experiment.METRICS, "overhead_one_time", "overhead_algo", "overhead_pq", "overhead_scorer", "overhead_other", "fallback_switch_itrs", "reps"}
+    assert all(len(out[n][m]) == 400 for n in out for m in experiment.METRICS)
+    assert out["Eps"]["STK"] == sorted(out["Eps"]["STK"]) and 0 <= out["Eps"]["Precision@K"][-1] <= 1
+    with pytest.raises(ValueError):
+        experiment.policy_of(base | {"algo_params": {"type": "Other"}, "sample_method": "scan"})
+    with pytest.raises(ValueError):
+        Policy("scan", "other")
+
+
+def test_metrics_against_ranks(spark):
+    ranked = spark.createDataFrame([(e, float(10 - r), r) for r, e in enumerate("abcdef", 1)], "element_id string, score double, rank long")
+    trace = [{"itr": 1, "answer": [("b", 8.0)]}, {"itr": 3, "answer": [("a", 9.0), ("f", 4.0)]}, {"itr": 3, "answer": []}]
+    got = experiment.with_metrics(trace, ranked, 2, 6)
+    assert [(t["Precision@K"], t["AvgRank"], t["WorstRank"]) for t in got] == [(0.5, 4.0, 6), (0.5, 3.5, 6), (0.0, 6.0, 6)]
+
+
+def test_batch_measurement(spark):
+    def load():
+        def model(b):
+            if len(b) > 20:
+                raise MemoryError("too large")
+            return b["id"] * 2
+
+        return model
+
+    got = experiment.measure_batches(spark.range(100), load, [5, 20, 40], most=3)
+    assert {(r.batch_size, r.status, r.n) for r in got.groupBy("batch_size", "status").agg(F.count("*").alias("n")).collect()} == {(5, "ok", 3), (20, "ok", 3), (40, "oom", 1)}
+    assert experiment.latency_by_batch(got).count() == 2
+
+
+def test_average_linkage_equals_plain_search():
+    points = np.random.default_rng(4).random((40, 3))
+    groups, got = {i: [i] for i in range(40)}, tree.average_linkage(points)
+    for step, (a, b, height, size) in enumerate(got):
+        mean = lambda x, y: np.mean([np.linalg.norm(points[i] - points[j]) for i in groups[x] for j in groups[y]])
+        best = min(mean(x, y) for x in groups for y in groups if x < y)
+        assert abs(best - height) < 1e-6 and abs(mean(a, b) - height) < 1e-6
+        groups[40 + step] = groups.pop(a) + groups.pop(b)
+        assert len(groups[40 + step]) == size
