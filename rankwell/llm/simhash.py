@@ -7,14 +7,20 @@ two lattice points that far apart have a common point at most 1 from either. So
 cells of its half's vector and of all vectors 1 away, once for each half, and every link shares a cell. Pairs in a
 cell are then verified on the fingerprints.
 
+A cell of over CELL members is split before it is gathered: with at most 4 differing bits, one of five blocks of the 64
+bits is equal, so its members go into finer cells, one for each block, of equal block bits. Finer cells that are still too
+large are split by five blocks of the bits not yet equal, and so on; every link stays in some cell, and all are verified.
+
 Defined results: a null or wordless text has fingerprint zero and links like any other; a document with fewer
 words than a shingle has its whole word sequence as the one shingle; repeated rows of an id link by each of their
-texts; a row with a null id is fingerprinted but names no component (null).
+texts; a row with a null id is fingerprinted but names no component (null); a very long text is fingerprinted whole; an
+empty table gives an empty one; only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,13 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankwell.llm.common import cut
+from rankwell.llm.common import cut, join_small
 from rankwell.llm.components import components
 
 #: Words of a shingle, hash seed, and differing bits up to which fingerprints link.
 SHINGLE, SEED, BITS = 4, 42, 4
-#: Members up to which a cell's pairs are compared at once; larger cells take the midpoint way.
+#: Members up to which a cell's pairs are compared at once; larger cells are split. At least 16, the most that differ in four bits only.
 CELL = 4096
+#: Blocks by which a cell is split, of which differing bits always leave one.
+BLOCKS = BITS + 1
+_CELLS = "cell long, used long, fp long, node long"
 _LANES = np.uint64(0x0101010101010101)
 _ALL = np.arange(64, dtype=np.uint64)
 
@@ -71,31 +80,74 @@ def _neighbours() -> tuple[np.ndarray, np.ndarray]:
     return up, np.uint64(3) * up
 
 
-def grid_cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell keys and, for each, the index of its fingerprint. A key is a packed vector of 16 counts, plus 2^32 for the upper half."""
-    keys, owners, own = [], [], np.arange(len(fps), dtype=np.int64)
-    up, mask = _neighbours()
-    even = np.uint64(0x55555555)
+def vectors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of both halves and, for each, the index of its fingerprint: packed bit counts, plus 2^32 for the upper half."""
+    even, keys = np.uint64(0x55555555), []
     for half in (0, 1):
         x = (fps >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-        v = (x & even) + ((x >> np.uint64(1)) & even)  # 2-bit counts of 0 to 2
-        tag = np.uint64(half << 32)
-        keys.append(v | tag)
-        owners.append(own)
-        for one, both in zip(up, mask):
-            count = v & both
-            more, less = count != one + one, count != 0
-            keys += [(v[more] + one) | tag, (v[less] - one) | tag]
-            owners += [own[more], own[less]]
+        keys.append((x & even) + ((x >> np.uint64(1)) & even) | np.uint64(half << 32))  # 2-bit counts of 0 to 2
+    return np.concatenate(keys), np.tile(np.arange(len(fps), dtype=np.int64), 2)
+
+
+def around(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells at most 1 from vectors, and for each the index of its vector. The vectors at most 1 from a cell are found alike."""
+    own = np.arange(len(v), dtype=np.int64)
+    keys, owners = [v], [own]
+    for one, both in zip(*_neighbours()):
+        count = v & both
+        more, less = count != one + one, count != 0
+        keys += [v[more] + one, v[less] - one]
+        owners += [own[more], own[less]]
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def grid_cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell keys and, for each, the index of its fingerprint."""
+    v, of = vectors(fps)
+    keys, owners = around(v)
+    return keys, of[owners]
+
+
 def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps, node = b.column("fp").to_numpy(zero_copy_only=False), b.column("node").to_numpy(zero_copy_only=False)
         for at in range(0, len(fps), 20_000):
             key, own = grid_cells(fps[at : at + 20_000].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps[at : at + 20_000][own]), pa.array(node[at : at + 20_000][own])], ["cell", "fp", "node"])
+            cols = [key.view(np.int64), np.zeros(len(key), np.int64), fps[at : at + 20_000][own], node[at : at + 20_000][own]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["cell", "used", "fp", "node"])
+
+
+def _to_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(vectors(b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))[0].view(np.int64))], ["v"])
+
+
+def _to_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        v = b.column("v").to_numpy(zero_copy_only=False)
+        for at in range(0, len(v), 20_000):
+            cell, of = around(v[at : at + 20_000].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 20_000][of]), pa.array(cell.view(np.int64))], ["v", "cell"])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _to_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of the bits that are not yet equal in the row's cell (`used` has those that are)."""
+    for b in batches:
+        cell, used, fp, node = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "used", "fp", "node"))
+        for u in np.unique(used):
+            own = used == u
+            free = _ALL[(np.uint64(u.view(np.uint64)) >> _ALL) & np.uint64(1) == 0]
+            for k, bits in enumerate(np.array_split(free, BLOCKS)):
+                mask = (np.uint64(1) << bits).sum(dtype=np.uint64)
+                key = _mixed(_mixed(cell[own].view(np.uint64) + np.uint64(k)) ^ (fp[own].view(np.uint64) & mask))
+                now = np.full(own.sum(), u.view(np.uint64) | mask)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (key.view(np.int64), now.view(np.int64), fp[own], node[own]))], ["cell", "used", "fp", "node"])
 
 
 def _small_runs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +177,10 @@ def _spanning(fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell come in, links go out. Rows of a cell beyond CELL members go out as they are, with a null b."""
-    key, fp, node, over = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), None
+    """Rows sorted by cell come in, links go out. No cell has over CELL members."""
+    held = [np.empty(0, np.int64)] * 3
 
-    def out(a, b=None, f=None):
-        none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if f is None else pa.array(f)], ["a", "b", "fp"])
-
-    def done(key, fp, node):
+    def done(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
         size = ends - starts
@@ -141,67 +189,40 @@ def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = np.repeat(size <= 64, size)
         yield out(*_small_runs(key[small], fp[small].view(np.uint64), node[small], 64))
 
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
     for batch in batches:
-        k, f, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "fp", "node"))
-        if over is not None:  # still in a cell that was too large
-            same = int(np.searchsorted(k, over, "right"))
-            if same:
-                yield out(n[:same], None, f[:same])
-            k, f, n = k[same:], f[same:], n[same:]
-            if not len(k):
-                continue
-            over = None
-        key, fp, node = np.concatenate([key, k]), np.concatenate([fp, f]), np.concatenate([node, n])
-        if not len(key):
-            continue
-        cutoff = int(np.searchsorted(key, key[-1]))  # the last cell may go on in the next batch
-        yield from _bounded(key[:cutoff], fp[:cutoff], node[:cutoff], done, out)
-        key, fp, node = key[cutoff:], fp[cutoff:], node[cutoff:]
-        if len(key) > CELL:
-            yield out(node, None, fp)
-            over, key, fp, node = key[-1], key[:0], fp[:0], node[:0]
-    if len(key):
-        yield from _bounded(key, fp, node, done, out)
-
-
-def _bounded(key, fp, node, done, out):
-    """Cells over CELL members that came within one batch also go out as they are."""
-    if not len(key):
-        return
-    edge = np.flatnonzero(np.diff(key)) + 1
-    size = np.diff(np.concatenate([[0], edge, [len(key)]]))
-    large = np.repeat(size > CELL, size)
-    if large.any():
-        yield out(node[large], None, fp[large])
-    if not large.all():
-        yield from done(key[~large], fp[~large], node[~large])
-
-
-def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All words at most 2 bits from a fingerprint: two members of one such word's ball are at most 4 apart, so they link unverified."""
-    one = np.uint64(1) << _ALL
-    i, j = np.triu_indices(64, 1)
-    flips = np.concatenate([[np.uint64(0)], one, one[i] | one[j]])
-    for b in batches:
-        fps, node = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), b.column("node").to_numpy(zero_copy_only=False)
-        for at in range(0, len(fps), 64):
-            mid = (fps[at : at + 64, None] ^ flips[None, :]).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(mid.view(np.int64)), pa.array(np.repeat(node[at : at + 64], len(flips)))], ["mid", "node"])
+        held = [np.concatenate([x, batch.column(c).to_numpy(zero_copy_only=False)]) for x, c in zip(held, ("cell", "fp", "node"))]
+        if len(held[0]):
+            last = int(np.searchsorted(held[0], held[0][-1]))  # the last cell may go on in the next batch
+            if last:
+                yield from done(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+    if len(held[0]):
+        yield from done(*held)
+
+
+def crowded_cells(nodes: DataFrame) -> DataFrame:
+    """Rows (cell) of the grid cells of over CELL members, counted on vectors. Such a cell has a vector of a 33rd of that at most 1 away."""
+    counts = cut(nodes.select("fp").mapInArrow(_to_vectors, "v long").groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    heavy = counts.filter(F.col("n") * 33 > CELL).select("v")
+    near = heavy.mapInArrow(_to_around, "v long, cell long").select(F.col("cell").alias("v")).distinct()
+    members = near.mapInArrow(_to_around, "v long, cell long").select(F.col("v").alias("cell"), F.col("cell").alias("v"))
+    return cut(members.join(counts, "v").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > CELL).select("cell"))
 
 
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) between the nodes of `nodes` (fp long, node long; one row per fingerprint), enough to connect all that link."""
-    cells = nodes.select("fp", "node").mapInArrow(_to_cells, "cell long, fp long, node long")
-    found = cut(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links, "a long, b long, fp long"))
-    links = found.filter("b is not null").select("a", "b")
-    crowded = found.filter("b is null").select(F.col("a").alias("node"), "fp").distinct()
-    if crowded.isEmpty():
-        return links
-    # A cell that is too large to compare: each member links to the smallest member of every ball of radius 2 it is in.
-    # The members of such a ball link to each other, and any two that link share one, so nothing is lost and the work is linear.
-    mids = cut(crowded.mapInArrow(_midpoints, "mid long, node long"))
-    centre = mids.groupBy("mid").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b < top").select("mid", "b")
-    return links.unionByName(mids.join(centre, "mid").filter("node != b").select(F.col("node").alias("a"), "b").distinct())
+    cells, crowded, found = nodes.select("fp", "node").mapInArrow(_to_cells, _CELLS), crowded_cells(nodes), []
+    while True:
+        split = not crowded.isEmpty()
+        whole = join_small(cells, crowded, ["cell"], "left_anti", F.lit(8)) if split else cells
+        found.append(cut(whole.select("cell", "fp", "node").repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links, "a long, b long")))
+        if not split:
+            return reduce(DataFrame.unionByName, found)
+        cells = cut(join_small(cells, crowded, ["cell"], "left_semi", F.lit(8)).mapInArrow(_to_finer, _CELLS))
+        crowded = cut(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL).select("cell"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,8 +245,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents whose id is their component's smallest in `found`; one row where an id is repeated. Rows without an id all stay."""
-    kept = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")))
-    once = docs.join(kept.filter("__n = 1").select(id_col), id_col, "left_semi").select(docs.columns)
+    kept = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")))
+    once = docs.join(kept.filter("n = 1").select(id_col), id_col, "left_semi").select(docs.columns)
     out = once.unionByName(docs.filter(F.col(id_col).isNull()))
-    again = kept.filter("__n > 1").select(id_col)
+    again = kept.filter("n > 1").select(id_col)
     return out if again.isEmpty() else out.unionByName(docs.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))

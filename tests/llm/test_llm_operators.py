@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -78,44 +79,48 @@ def test_simhash_equals_brute_force(spark):
     assert want[2] == 1 and want[4] == 3 and len(set(want.values())) < len(want)
 
 
-@pytest.mark.parametrize("cell", [3, 4096])
+@pytest.mark.parametrize("cell", [16, 60, 4096])
 def test_crowded_cells_lose_no_link(spark, monkeypatch, cell):
-    """Chains around one centre, with cells compared at once or by midpoints."""
+    """Chains around one centre, in cells compared at once or split once or more."""
     rng = random.Random(2)
     base = rng.getrandbits(64)
     prints = {}
-    for i in range(120):
+    for i in range(400):
         x = base
         for b in rng.sample(range(64), rng.randint(0, 7)):
             x ^= 1 << b
-        prints[i] = x
+        prints.setdefault(x, i)
     monkeypatch.setattr(simhash, "CELL", cell)
-    uniq = {}
-    for i, f in prints.items():
-        uniq.setdefault(f, i)
-    signed = [(f - (1 << 64) if f >> 63 else f, i) for f, i in uniq.items()]
-    nodes = spark.createDataFrame(signed, "fp long, node long").coalesce(1)
-    if cell == 3:  # in this process, where the smaller bound holds
-        import pyarrow as pa
-
-        cells = [b for b in simhash._to_cells(iter([pa.RecordBatch.from_pydict({"fp": pa.array([f for f, _ in signed]), "node": pa.array([i for _, i in signed])})]))]
-        t = pa.Table.from_batches(cells).sort_by("cell")
-        out = pa.Table.from_batches(list(simhash._cell_links(iter(t.to_batches(max_chunksize=37))))).to_pylist()
-        crowded = {(r["a"], r["fp"]) for r in out if r["b"] is None}
-        assert crowded
-        mids = pa.Table.from_batches(list(simhash._midpoints(iter([pa.RecordBatch.from_pydict({"node": pa.array([n for n, _ in crowded]), "fp": pa.array([f for _, f in crowded])})])))).to_pylist()
-        low = {}
-        for r in mids:
-            low[r["mid"]] = min(low.get(r["mid"], r["node"]), r["node"])
-        links = [(r["a"], r["b"]) for r in out if r["b"] is not None] + [(r["node"], low[r["mid"]]) for r in mids]
-        links = spark.createDataFrame([x for x in set(links) if x[0] != x[1]], "a long, b long")
-    else:
-        links = simhash.fingerprint_links(nodes)
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for f, i in prints.items()], "fp long, node long")
+    crowded = {r.cell & (1 << 64) - 1 for r in simhash.crowded_cells(nodes).collect()}
+    cells = Counter(simhash.grid_cells(np.array([*prints], dtype=np.uint64))[0].tolist())
+    assert crowded == {c for c, n in cells.items() if n > cell} and bool(crowded) == (cell < 4096)
+    links = simhash.fingerprint_links(nodes)
+    of = {i: f for f, i in prints.items()}
+    assert all((of[r.a] ^ of[r.b]).bit_count() <= 4 for r in links.distinct().collect())
     got = {r.node: r.component for r in components(links).collect()}
-    want = brute_components({i: f for f, i in uniq.items()})
+    want = brute_components(of)
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_cell_of_ten_thousand(spark):
+    """Fingerprints with the same half vectors: one cell for all, split by their bits; components against brute force."""
+    rng = np.random.default_rng(5)
+    flips = rng.integers(0, 2, (10_000, 32), dtype=np.uint64)  # one bit of each segment, so all counts are 1
+    fps = np.unique((np.uint64(1) << (np.uint64(2) * np.arange(32, dtype=np.uint64) + flips)).sum(axis=1, dtype=np.uint64))
+    nodes = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64), "node": np.arange(len(fps))}))
+    assert simhash.crowded_cells(nodes).count() > 1
+    got = {r.node: r.component for r in components(simhash.fingerprint_links(nodes)).collect()}
+    low = np.arange(len(fps))
+    near = [np.flatnonzero(np.bitwise_count(fps ^ f) <= 4) for f in fps]
+    while True:
+        new = np.array([low[n].min() for n in near])
+        if (new == low).all():
+            break
+        low = new
+    assert [got.get(i, i) for i in range(len(fps))] == low.tolist() and len(set(low.tolist())) < len(fps)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(50)] + [(7, 7)]
