@@ -13,6 +13,14 @@ __all__ = ["BROADCAST_BYTES", "cut", "fits", "join_small", "new_path", "shared_d
 BROADCAST_BYTES = 32 << 20
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fits(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the rows, of the given payload size in bytes each, stay below the broadcast limit."""
     total = df.agg(F.sum(size + F.lit(32)).alias("b")).first()["b"]

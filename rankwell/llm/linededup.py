@@ -2,7 +2,9 @@
 
 Defined results: a null text stays null and its page still counts for the host; a page without a host keeps
 all its lines; lines without a word are never boilerplate; a line that a page repeats counts once for that
-page, but each of its repeats goes when it is boilerplate; repeated rows are pages of their own.
+page, but each of its repeats goes when it is boilerplate; repeated rows are pages of their own; a line on exactly the
+given share of pages stays; very long texts and lines are treated whole; an empty table gives an empty one; further
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import cut, fits, join_small
+from rankwell.llm.common import cut, fits, fresh, join_small
 
 WORD = r"[^\x09-\x0D\x20]"
 
@@ -52,14 +54,15 @@ def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source",
     per_host = cut(boilerplate_lines(docs, text, host, percent, min_pages).groupBy("host").agg(F.collect_list("line").alias("lines")))
     size = F.length("host") + F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x) * 4 + 16)
     small = fits(per_host, size)
-    gone = per_host.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    out = docs.join(F.broadcast(gone) if small else gone, F.col(host) == F.col("__host"), "left")
-    kept = F.expr(f"filter(split(`{text}`, '\\n'), x -> not array_contains(__lines, x))")
-    new = F.when(F.col(text).isNull() | F.col("__lines").isNull(), F.col(text)).otherwise(F.concat_ws("\n", kept))
+    h, lines = fresh(docs, "__host"), fresh(docs, "__lines")
+    gone = per_host.select(F.col("host").alias(h), F.col("lines").alias(lines))
+    out = docs.join(F.broadcast(gone) if small else gone, F.col(host) == F.col(h), "left")
+    kept = F.expr(f"filter(split(`{text}`, '\\n'), x -> not array_contains(`{lines}`, x))")
+    new = F.when(F.col(text).isNull() | F.col(lines).isNull(), F.col(text)).otherwise(F.concat_ws("\n", kept))
     more = []
     if counts:
         n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(_lines(F.col(text))))
-        left = F.when(F.col(text).isNull() | F.col("__lines").isNull(), n).otherwise(F.size(kept))
+        left = F.when(F.col(text).isNull() | F.col(lines).isNull(), n).otherwise(F.size(kept))
         more = [n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_dropped")]
     same = [F.col(c) if c != text else new.alias(text) for c in docs.columns]
     return out.select(*same, *more)

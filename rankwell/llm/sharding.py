@@ -5,7 +5,9 @@ the nearest shard holds the key. Another shard draws numbers of its own and can
 between the others.
 
 Defined results: a null text has no bytes (size 1) and checksum 0; a null key is hashed as the text "null"; repeated
-rows are rows of their own, in the same shard; slots follow the key's bucket, the key, then the checksum and size.
+rows are rows of their own, in the same shard; slots follow a bucket of key, checksum and size, so that a key repeated very
+often is spread, then the key, checksum and size; a very long text has its whole size and checksum; an empty table gives
+an empty one; only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
         rendezvous(F.col(id_col), weights).alias("shard"), rendezvous(F.col(id_col), grown).alias("grown_shard"),
     ))
     buckets = max(1, math.ceil(d.count() / (BUCKET_ROWS * max(1, len(weights)))))
-    d = d.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    d = d.withColumn("bucket", F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     first = d.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("id", "text_crc32", "size"))

@@ -1,7 +1,9 @@
 """URL lists: a blocked Bloom filter of listed canonical URLs, an exact hash join of its hits, and host rules above both.
 
 Defined results: host and path of a null URL, or of one without "://", are empty; such a URL is not listed and
-no rule fits it; each row is judged, repeated or not; null entries of the list count for nothing.
+no rule fits it; each row is judged, repeated or not; null entries of the list count for nothing; very long URLs are judged
+whole; of several rules that fit, the longest decides; an empty table gives an empty one, an empty list blocks nothing;
+only the id and the URL are read by `judge`, and other columns of any name pass `is_listed`.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import cut, fits
+from rankwell.llm.common import cut, fits, fresh, join_small
 
-#: Bits of a block that an entry sets, entries per 64-bit block, rules beyond which an expression per rule is no longer sensible.
+#: Bits of a block that an entry sets, entries per 64-bit block, rules beyond which hosts are joined to them instead of an expression for each.
 BITS, PER_BLOCK, MAX_RULES = 6, 4, 500
 
 
@@ -60,16 +62,17 @@ def is_listed(rows: DataFrame, key: str, listed: DataFrame, flag: str = "listed"
     blocks = max(1, entries.count() // PER_BLOCK)
     words = blocked_bloom(entries, blocks)
     words = F.broadcast(words) if blocks * 16 <= (16 << 20) else words
+    block, word, hit, own = (fresh(rows, x) for x in ("__block", "__word", "__hit", "__key"))
     probed = (
-        rows.withColumn("__block", F.when(F.col(key).isNotNull(), _block(F.col(key), blocks)))
-        .join(words.withColumnRenamed("block", "__block"), "__block", "left")
-        .withColumn("__hit", F.coalesce(F.col("word").bitwiseAND(_mask(F.col(key))) == _mask(F.col(key)), F.lit(False)))
-        .drop("__block", "word")
+        rows.withColumn(block, F.when(F.col(key).isNotNull(), _block(F.col(key), blocks)))
+        .join(words.toDF(block, word), block, "left")
+        .withColumn(hit, F.coalesce(F.col(word).bitwiseAND(_mask(F.col(key))) == _mask(F.col(key)), F.lit(False)))
+        .drop(block, word)
     )
-    exact = entries.select(F.col("key").alias("__key"), F.lit(True).alias(flag))
+    exact = entries.select(F.col("key").alias(own), F.lit(True).alias(flag))
     exact = F.broadcast(exact) if fits(entries, F.length("key") * 4) else exact
-    hits = probed.filter("__hit").drop("__hit").join(exact, F.col(key) == F.col("__key"), "left").drop("__key").withColumn(flag, F.coalesce(flag, F.lit(False)))
-    return hits.unionByName(probed.filter("not __hit").drop("__hit").withColumn(flag, F.lit(False)))
+    hits = probed.filter(hit).drop(hit).join(exact, F.col(key) == F.col(own), "left").drop(own).withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return hits.unionByName(probed.filter(~F.col(hit)).drop(hit).withColumn(flag, F.lit(False)))
 
 
 def rule_fits(rule: str, host: Column, path: Column) -> Column:
@@ -79,15 +82,27 @@ def rule_fits(rule: str, host: Column, path: Column) -> Column:
     return ((host == own) | host.endswith("." + own)) & path.startswith(start)
 
 
+def _ruled(d: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """`d` (with host and path) with the longest fitting rule and its verdict, null where none fits."""
+    if len(rules) <= MAX_RULES:
+        rule, says = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for text in sorted(rules, key=lambda r: (len(r), r)):
+            fit = rule_fits(text, F.col("host"), F.col("path"))
+            rule, says = F.when(fit, F.lit(text)).otherwise(rule), F.when(fit, F.lit(rules[text])).otherwise(says)
+        return d.withColumn("rule", rule).withColumn("says", says)
+    known = d.sparkSession.createDataFrame([(r[: r.index("/")], r[r.index("/") :], r, v) for r, v in rules.items()], "of string, start string, rule string, says string")
+    pairs = d.select("host", "path").distinct()
+    # every host above the page's, itself included
+    labels = F.split("host", "[.]")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fit = join_small(pairs.withColumn("of", F.explode(above)), known, ["of"], "inner", F.length("rule") * 8).filter(F.col("path").startswith(F.col("start")))
+    best = fit.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "says")).alias("m")).select("host", "path", "m.rule", "m.says")
+    return d.join(best, ["host", "path"], "left")
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Rows (id, host, path, rule, verdict): the longest fitting rule's verdict, else block for listed URLs and allow for others."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules; put whole URLs in the list")
-    d = pages.select(F.col(id_col).alias("__id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    d = d.withColumn("__canon", canonical(F.col("host"), F.col("path")))
-    rule, says = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for text in sorted(rules, key=lambda r: (len(r), r)):
-        fit = rule_fits(text, F.col("host"), F.col("path"))
-        rule, says = F.when(fit, F.lit(text)).otherwise(rule), F.when(fit, F.lit(rules[text])).otherwise(says)
-    out = is_listed(d, "__canon", listed)
-    return out.select(F.col("__id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(says, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
+    d = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    d = _ruled(d, rules).withColumn("canon", canonical(F.col("host"), F.col("path")))
+    out = is_listed(d, "canon", listed)
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("says", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")

@@ -159,7 +159,7 @@ def test_sharding(spark):
     assert sharding.shard(d.limit(0), [1.0] * 8).count() == 0
 
 
-def test_license_scan(spark):
+def test_license_scan(spark, monkeypatch):
     mit = licenses.TEMPLATES["MIT-text"]
     cut_short = " ".join(mit.split()[:40])
     long = "lorem ipsum dolor " * 400
@@ -168,10 +168,12 @@ def test_license_scan(spark):
     assert set(got) == {(1, "MIT-text"), (2, "MIT")}
     assert got[1, "MIT-text"].containment == 1.0 and got[2, "MIT"].first_word == 0
     assert licenses.collision_probability(0.19) > 0.999998
-    assert licenses.scan(docs(spark, []), {"x": "a b", "none": "!!"}).count() == 0
+    assert licenses.scan(docs(spark, []), {"x": "a b", "none": "!!"}).count() == 0 and licenses.scan(docs(spark, rows), {}).count() == 0
+    monkeypatch.setattr(licenses, "MAX_SHINGLES", 3)  # the bands alone retrieve
+    assert {(r.doc_id, r.license): r for r in licenses.scan(docs(spark, rows + [(8, "y" * 300_000, "en", "s")])).collect()} == got
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     urls = ["https://A.Example.NET/en/1", "http://example.net", "http://x.example.com/de/a?b", "http://q.org/fr/1#c", "http://bad.org/p/", "http://bad.org/p", "http://bad.org/p/q", "nothing", None, "", "http://badexample.net.org/x", "http://net/", "http://kinternet/"]
     pages = spark.createDataFrame([(i, u, "k", True) for i, u in enumerate(urls)], "page_id long, url string, host string, listed boolean")
     listed = spark.createDataFrame([("bad.org/p",), ("bad.org/p",), (None,), ("other.org/z",)], "key string")
@@ -179,6 +181,11 @@ def test_url_filter(spark):
     got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, listed, rules).collect()}
     want = [("example.net/en/", "allow"), (None, "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), (None, "block"), (None, "block"), (None, "allow")] + [(None, "allow")] * 4 + [("net/", "block"), (None, "allow")]
     assert got == dict(enumerate(want))
+    monkeypatch.setattr(urlfilter, "MAX_RULES", 1)  # rules are joined
+    joined = urlfilter.judge(pages.unionByName(pages.limit(3)).unionByName(spark.createDataFrame([(99, "http://q.org/fr/" + "z" * 100_000, "k", True)], pages.schema)), listed, rules).collect()
+    assert len(joined) == len(urls) + 4 and all((r.rule, r.verdict) == got.get(r.page_id, ("org/fr/", "allow")) for r in joined)
+    clash = urlfilter.is_listed(pages.selectExpr("page_id as __block", "url as __key", "host as __hit", "url"), "__key", listed, "word")
+    assert clash.columns == ["__block", "__key", "__hit", "url", "word"] and clash.count() == len(urls) and urlfilter.judge(pages.limit(0), listed, rules).count() == 0
     empty = urlfilter.judge(pages, listed.limit(0), {})
     assert empty.count() == len(urls) and empty.filter("verdict = 'block'").count() == 0
 
@@ -380,6 +387,11 @@ def test_line_dedup(spark):
     assert out[20].text == "menu\nx" and out[21].text is None and out[21].n_lines == 0 and out[22].text == "" and out[23].text == "menu"
     assert linededup.drop_boilerplate(d, percent=50).columns == d.columns
     assert linededup.drop_boilerplate(d.limit(0)).count() == 0
+    tie = docs(spark, [(i, "x" * 100_000 + ("\nhead" if i < 3 else ""), "en", "a") for i in range(30)]).selectExpr("*", "1 as __host", "2 as __lines")
+    kept = linededup.drop_boilerplate(tie.unionByName(tie.filter("doc_id = 29"))).collect()  # 3 of 31 are below 10 %
+    assert len(kept) == 31 and sum("head" in r.text for r in kept) == 3 and {r.__getitem__("__host") for r in kept} == {1}
+    exactly = linededup.drop_boilerplate(tie).collect()  # 3 of 30 are not over 10 %
+    assert sum("head" in r.text for r in exactly) == 3
 
 
 def contaminated_rows(spark, rows, items):
