@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from rankwell.llm.chunked import Kept, distinct, joined, made, parts
 
 #: Chunks, and words, whose ids a worker keeps: twice this number at most.
-CACHE = 100_000
+CACHE = 60_000
 #: Bits of a queue entry: 17 for a symbol, 27 above for a place in the word, then the rank.
 SYMBOL, PLACE = (1 << 17) - 1, (1 << 27) - 1
 #: ASCII's marks but the apostrophe, which may begin an ending of its own.

@@ -191,7 +191,7 @@ class Matcher:
 
     def match(self, texts: Iterable[str | None]) -> Iterator[dict[int, tuple[float, float, float]]]:
         """For each text the ids of the items it holds, with their overlaps."""
-        for held in _together([*map(tokens, texts)], TOGETHER):
+        for held in _together(map(tokens, texts), TOGETHER):
             yield from self._match(held)
 
     def _match(self, docs: list[list[bytes]]) -> list[dict[int, tuple[float, float, float]]]:
@@ -246,7 +246,7 @@ def _sums(gain: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def _together(docs: list[list[bytes]], most: int) -> Iterator[list[list[bytes]]]:
+def _together(docs: Iterable[list[bytes]], most: int) -> Iterator[list[list[bytes]]]:
     """The documents in runs of about `most` words."""
     held, n = [], 0
     for d in docs:
@@ -301,7 +301,7 @@ class Parts:
     def match(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
         """For each text the ids of the items it holds, in any of the parts, with their best overlaps."""
         out = []
-        for held in _together([*map(tokens, texts)], TOGETHER if self.keep else GATHERED):
+        for held in _together(map(tokens, texts), TOGETHER if self.keep else GATHERED):
             found: list[dict[int, tuple[float, float, float]]] = [{} for _ in held]
             for shared in self.shared:
                 matcher, at = _unpacked(shared, self.keep), 0

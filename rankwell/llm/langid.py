@@ -34,8 +34,8 @@ from rankwell.llm.common import cut, join_small
 
 #: The bound of the fitting sample: texts of each language.
 PER_LANGUAGE = 300
-#: EM rounds; letters of a piece, letters of a word part; bytes of the chunks' likelihoods that a worker keeps, and of the sums of words scored together.
-ROUNDS, PIECE, PART, KEPT_BYTES, SUM_BYTES = 3, 8, 48, 32 << 20, 32 << 20
+#: EM rounds; letters of a piece, letters of a word part; bytes of the words with their likelihoods that a worker keeps, of a word without them, and of the sums of words scored together.
+ROUNDS, PIECE, PART, KEPT_BYTES, WORD_BYTES, SUM_BYTES = 3, 8, 48, 32 << 20, 200, 16 << 20
 UNKNOWN, SMOOTH = 1e-7, 0.05
 START = "▁"
 _MARKS = string.punctuation + string.digits
@@ -167,7 +167,7 @@ class Model:
         """The log-likelihoods [word, language] of distinct words, each computed once while it is kept."""
         state = self._state()
         fresh = [w for w in ws if w not in state[1]]
-        if (len(state[1]) + len(fresh)) * 8 * len(self.languages) > KEPT_BYTES:
+        if (len(state[1]) + len(fresh)) * (WORD_BYTES + 8 * len(self.languages)) > KEPT_BYTES:
             state[1], state[2], fresh = {}, state[2][:0], ws
         state[1].update(zip(fresh, range(len(state[1]), len(state[1]) + len(fresh))))
         state[2] = np.concatenate([state[2], forward(state[0], self.prob, fresh)])

@@ -33,7 +33,7 @@ FILE_BYTES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 128 << 20, 8 << 20, 256 << 10,
 #: Files whose sums are added up in one window.
 GROUPED = 4096
 #: Chunks whose ids a worker keeps, at most twice this number, and half as many words.
-CACHE = 100_000
+CACHE = 60_000
 SCHEMA = "doc_id long, part int, row int, n_tokens int, ids array<int>"
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_1_0"},
