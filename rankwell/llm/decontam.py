@@ -224,8 +224,17 @@ class Matcher:
             rows = np.flatnonzero(may[block + 2] | may[block + 1] | may[block])
             if not len(rows):
                 continue
-            # the same for each range of items, over what is left
+            # the same for each range of items, over what is left; first with each block's own distinct words, a looser sum
             gain, edges = bound[ids[rows]], np.searchsorted(block[rows], np.arange(n + 2))
+            loose = _sums(gain * first_in[0][rows, None], edges)
+            loose = (loose[: n - 1] + loose[1:n] + loose[2:] >= index.range_least).any(axis=1)
+            near = np.zeros(n + 1, dtype=bool)
+            for k in range(3):
+                near[k : k + n - 1] |= loose
+            rows, gain = rows[near[block[rows]]], gain[near[block[rows]]]
+            if not len(rows):
+                continue
+            edges = np.searchsorted(block[rows], np.arange(n + 2))
             upper = sum(_sums(gain * new[rows, None], edges)[k : k + n - 1] for k, new in enumerate(first_in))
             for k in np.flatnonzero((upper >= index.range_least).any(axis=1)):
                 d = int(np.searchsorted(base, k, "right")) - 1
