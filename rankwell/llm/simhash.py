@@ -244,9 +244,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id is their component's smallest in `found`; one row where an id is repeated. Rows without an id all stay."""
-    kept = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")))
-    once = docs.join(kept.filter("n = 1").select(id_col), id_col, "left_semi").select(docs.columns)
-    out = once.unionByName(docs.filter(F.col(id_col).isNull()))
-    again = kept.filter("n > 1").select(id_col)
-    return out if again.isEmpty() else out.unionByName(docs.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))
+    """The documents whose id is their component's smallest in `found`, which has every id; one row where an id is repeated. Rows without an id all stay.
+
+    Only ids that go or are repeated are looked up, so that most documents needn't be shuffled.
+    """
+    named = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count_if(F.col(id_col) == F.col("component_id")).alias("n"))
+    odd = cut(named.filter("n != 1"))
+    once = join_small(docs, odd.select(id_col), [id_col], "left_anti", F.lit(8)).select(docs.columns)
+    again = odd.filter("n > 1").select(id_col)
+    return once if again.isEmpty() else once.unionByName(docs.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))
