@@ -32,8 +32,8 @@ from rankwell.llm.common import cut, new_path
 FILE_BYTES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 128 << 20, 8 << 20, 256 << 10, 1000
 #: Files whose sums are added up in one window.
 GROUPED = 4096
-#: Chunks whose ids a worker keeps, at most twice this number, and half as many words.
-CACHE = 60_000
+#: Words, and other chunks, whose ids a worker keeps, at most twice these numbers. Words have to outlast a slice of chunked.TOGETHER bytes, which may hold 50,000 distinct ones.
+WORDS, CHUNKS = 60_000, 30_000
 SCHEMA = "doc_id long, part int, row int, n_tokens int, ids array<int>"
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_1_0"},
@@ -48,7 +48,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
         self.lib = library(path)
         self.tokenize, self.letters = self.lib.model.tokenize, byte_alphabet()
-        self.known, self.words = Kept(self.chunk, CACHE), Kept(self.word, CACHE // 2)
+        self.known, self.words = Kept(self.chunk, CHUNKS), Kept(self.word, WORDS)
 
     def word(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):
