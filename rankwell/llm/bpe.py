@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankwell.llm.chunked import Kept, distinct, joined, made, parts
+from rankwell.llm.common import sole
 
 #: Chunks, and words, whose ids a worker keeps: twice this number at most.
 CACHE = 60_000
@@ -176,10 +177,15 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Bpe:
+def _vocabulary(path: str) -> Bpe:
     return Bpe(path)
 
 
+def vocabulary(path: str) -> Bpe:
+    sole("bpe", _vocabulary.cache_clear)
+    return _vocabulary(path)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """`docs` with an array column of ids."""
 

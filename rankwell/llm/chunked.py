@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from rankwell.llm.common import give_back
+
 #: Bytes of text that are taken apart together; a single longer text is taken whole.
 TOGETHER = 2 << 20
 
@@ -40,7 +42,7 @@ def parts(texts: pa.Array, most: int = TOGETHER) -> Iterator[pa.Array]:
         n = max(1, int(np.searchsorted(ends, before + most, "right")) - at)
         yield texts.slice(at, n)
         at += n
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def distinct(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

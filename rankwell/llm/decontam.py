@@ -42,7 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankwell.llm.common import cut
+from rankwell.llm.chunked import parts as slices
+from rankwell.llm.common import cut, sole
 
 SHINGLE, LEAST, PART = 5, 0.8, 0.5
 K1, B, BLOCK = 1.2, 0.75, 8
@@ -307,7 +308,7 @@ class Parts:
         self.packed = self.size = 0
         self.keep = True
 
-    def match(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
+    def match(self, texts: Iterable[str | None]) -> list[dict[int, tuple[float, float, float]]]:
         """For each text the ids of the items it holds, in any of the parts, with their best overlaps."""
         out = []
         for held in _together(map(tokens, texts), TOGETHER if self.keep else GATHERED):
@@ -329,6 +330,7 @@ _KEPT: dict[int, tuple[Broadcast, Matcher, int]] = {}
 
 def _unpacked(shared: Broadcast, keep: bool) -> Matcher:
     """A part's matcher. A worker keeps KEPT_BYTES of them at most, those of its latest index."""
+    sole("decontam", _KEPT.clear)
     key = id(shared)
     if key in _KEPT and _KEPT[key][0] is shared:
         return _KEPT[key][1]
@@ -391,7 +393,7 @@ def flags(docs: DataFrame, items: DataFrame, question: Column, answer: Column, t
     def test(parts: Parts) -> Column:
         @F.arrow_udf(T.BooleanType())
         def holds(texts: pa.Array) -> pa.Array:
-            return pa.array([bool(x) for x in parts.match(texts.to_pylist())], pa.bool_())
+            return pa.array([bool(x) for x in parts.match(chain.from_iterable(x.to_pylist() for x in slices(texts)))], pa.bool_())
 
         return holds(F.col(text_col))
 

@@ -1,4 +1,4 @@
-"""Words that a worker keeps between slices of texts."""
+"""What a worker keeps: words between slices of texts, the state of one operator."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import random
 
 import pyarrow as pa
 
-from rankwell.llm import tokenfiles
+from rankwell.llm import bpe, common, tokenfiles
 from rankwell.llm.queries import vocabulary_path
 
 
@@ -22,3 +22,12 @@ def test_words_outlast_a_slice():
     enc.encode_all(pa.array([" ".join(again)]))
     assert len(calls) == len(words)
     assert first.values.to_pylist()[:200] == [i for w in words for i in enc.lib.encode(w, add_special_tokens=False).ids][:200]
+
+
+def test_a_worker_keeps_one_operators_state():
+    """What encoding keeps goes when another operator's work begins, and only then."""
+    one = bpe.vocabulary(vocabulary_path())
+    assert bpe.vocabulary(vocabulary_path()) is one
+    common.sole("another")
+    assert bpe._vocabulary.cache_info().currsize == 0
+    assert bpe.vocabulary(vocabulary_path()) is not one
