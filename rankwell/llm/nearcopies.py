@@ -1,13 +1,16 @@
-"""Near copies by Jaccard similarity of five-word shingles: MinHash bands propose pairs, the exact similarity decides.
+"""Near copies by Jaccard similarity of five-word shingles: the grid join of SimHash fingerprints proposes pairs, then MinHash bands do, the exact similarity decides.
 
-Fingerprints of 64 bits don't serve here: at similarity 0.8 two of them differ in about ten bits and often in fifteen,
-a radius at which no grid cell tells documents apart. Two texts of similarity 0.8 share one of 24 bands of four MinHashes
+Texts with equal shingle sets are one node. A node's fingerprint is that of its set, and the grid join of half vectors
+under Manhattan distance (see `simhash`) finds which fingerprints link; first each node is compared with one that it
+links with, later those that are not connected by then. At similarity 0.8 two fingerprints differ in about ten of 64 bits
+and often in fifteen, a radius at which no grid cell tells documents apart, so the join finds the more similar copies, and
+bands add the others. Two texts of similarity 0.8 share one of 24 bands of four MinHashes
 with probability over 0.999996, more similar ones more surely, and differ in few bits of a sketch (see FAR); that is the
 only loss.
 
-Texts with equal shingle sets are one node. First, every node of a band's bucket is compared with the same three nodes of
-it, work linear in the members, which connects most groups; then, in buckets whose nodes are not yet all connected, every
-two nodes of different components, by longer sketches made for these nodes alone. So what is left out is connected already.
+In a band's bucket every node is first compared with the same three nodes of it, work linear in the members, which connects
+most groups; then, in buckets whose nodes are not yet all connected, every two nodes of different components, by longer
+sketches made for these nodes alone. So what is left out is connected already.
 Sketches are compared within a task, a large bucket in blocks spread over many tasks; only pairs that are close go on to the
 exact comparison, so a group of texts somewhat below the similarity makes few rows.
 
@@ -26,9 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import cut, join_small
+from rankwell.llm.common import cut, give_back, join_small, sole
 from rankwell.llm.components import components
-from rankwell.llm.simhash import SEED, keep_smallest
+from rankwell.llm.simhash import SEED, fingerprint_links, keep_smallest, majority
 
 #: Words of a shingle; similarity from which texts are near copies, as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
@@ -84,12 +87,18 @@ def bands(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, sketch(least)
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a set of shingles as a signed long, zero for an empty one."""
+    return int(np.array([majority(own) if len(own) else 0], dtype=np.uint64).view(np.int64)[0])
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole("nearcopies")
     for b in batches:
         for at in range(0, len(b), BATCH):
             part = b.slice(at, BATCH)
@@ -97,25 +106,31 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
             found, sketches = zip(*map(bands, sets))
             s0, s1 = map(pa.array, np.array(sketches).T.copy())
-            cols = [part.column("id"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), _lists(found), s0, s1]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "key", "n", "bands", "s0", "s1"])
+            fps = pa.array([*map(fingerprint, sets)], pa.int64())
+            cols = [part.column("id"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), fps, _lists(found), s0, s1]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "key", "n", "fp", "bands", "s0", "s1"])
+        give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole("nearcopies")
     for b in batches:
         for at in range(0, len(b), BATCH):
             sets = [shingle_set(x.as_py()) for x in b.column("text").slice(at, BATCH)]
             keys = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists(sets)], ["key", "own"])
+        give_back()
 
 
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole("nearcopies")
     for b in batches:
         for at in range(0, len(b), BATCH):
             sets = [s for x in b.column("text").slice(at, BATCH) if len(s := shingle_set(x.as_py()))]
             if sets:
                 keys = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists([sketch(minima(s, WIDE)) for s in sets])], ["key", "wide"])
+        give_back()
 
 
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,25 +223,47 @@ def _verified(pairs: DataFrame, nodes: DataFrame, d: DataFrame) -> DataFrame:
     return cut(both.filter(_alike(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b"))
 
 
+def grid_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of numbers of nodes that the grid join of fingerprints links: enough to connect all whose fingerprints link. Nodes without a shingle take no part."""
+    some = nodes.filter("n > 0").select("fp", "num")
+    fps = cut(some.groupBy("fp").agg(F.min("num").alias("node")))
+    same = some.join(fps, "fp").filter("num != node").select(F.col("node").alias("a"), F.col("num").alias("b"))
+    return cut(fingerprint_links(fps).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").unionByName(same).distinct())
+
+
+def _apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are not yet in one component."""
+    of = lambda x: reached.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, component_id): the smallest id that links reach."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = cut(d.mapInArrow(_prints, "id long, key binary, n int, bands array<long>, s0 long, s1 long"))
+    prints = cut(d.mapInArrow(_prints, "id long, key binary, n int, fp long, bands array<long>, s0 long, s1 long"))
     named = prints.filter("id is not null")
-    first = named.groupBy("key").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("n", "bands", "s0", "s1")))
+    first = named.groupBy("key").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("n", "fp", "bands", "s0", "s1")))
     nodes = cut(first.withColumn("num", F.monotonically_increasing_id()))
     # an id repeated with other texts holds several nodes together
     several = named.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo != hi").select("id")
     held = cut(named.join(several, "id", "left_semi").select("id", "key").distinct().join(nodes.select("key", "num"), "key").select("id", "num"))
     same_id = held.join(held.groupBy("id").agg(F.min("num").alias("b")), "id").select(F.col("num").alias("a"), "b")
+    # one linked node for each, then what is not connected by that, with the bands' pairs
+    grid = grid_pairs(nodes)
+    tree = grid.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _verified(tree, nodes, d).unionByName(same_id)
+    reached = components(links)
     entries = nodes.select(F.explode("bands").alias("band"), "num", "n").repartition("band").sortWithinPartitions("band", "num")
     shared = cut(entries.mapInArrow(_shared, "band long, num long, n int, c0 long, c1 long, c2 long, n0 int, n1 int, n2 int"))
     stars = shared.select("num", "n", F.explode(F.array(*(F.struct(F.col(f"c{k}").alias("c"), F.col(f"n{k}").alias("m")) for k in range(3)))).alias("s"))
     stars = stars.filter((F.col("num") != F.col("s.c")) & _near(F.col("n"), F.col("s.m")))
     stars = cut(stars.select(F.least("num", "s.c").alias("a"), F.greatest("num", "s.c").alias("b")).distinct())
     side = lambda x: nodes.select(F.col("num").alias(x), F.col("s0").alias(f"{x}0"), F.col("s1").alias(f"{x}1"))
-    likely = cut(stars.join(side("a"), "a").join(side("b"), "b").filter(_close("a0", "a1", "b0", "b1")).select("a", "b"))
-    links = _verified(likely, nodes, d).unionByName(same_id)
+    likely = _apart(stars, reached)
+    likely = likely.join(side("a"), "a").join(side("b"), "b").filter(_close("a0", "a1", "b0", "b1")).select("a", "b")
+    likely = cut(likely.unionByName(_apart(grid.join(tree, ["a", "b"], "left_anti"), reached)).distinct())
+    links = links.unionByName(_verified(likely, nodes, d))
     # buckets of several components: every two nodes of different ones
     reached = components(links)
     placed = shared.select("band", "num", "n").join(reached.withColumnRenamed("node", "num"), "num", "left").withColumn("component", F.coalesce("component", "num"))

@@ -56,10 +56,10 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     ends = [s - 1 for s in starts[n:]] + [len(joined)]
     h64 = xxhash.xxh64_intdigest
     hashes = np.fromiter((h64(joined[s:e], SEED) for s, e in zip(starts, ends)), dtype=np.uint64)
-    return _majority(hashes)
+    return majority(hashes)
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
     """Eight bit positions at a time, each in a byte lane of which at most 255 are added before they are spread."""
     total, at = np.zeros(64, dtype=np.int64), np.arange(0, len(hashes), 255)
     for k in range(8):

@@ -81,3 +81,40 @@ def test_more_ids_than_can_be_sent(spark, monkeypatch):
     want = brute({4: a, 2: b})
     left = sorted(str(r.doc_id) for r in nearcopies.keep_one(docs).collect())
     assert left == sorted(map(str, [*set(want.values()), 3, None]))
+
+
+def test_grid_of_fingerprints_links_without_bands(spark, monkeypatch):
+    """With no band at all the grid join of fingerprints links the copies within 4 bits, if they are similar enough."""
+    rng, vocab = random.Random(4), [f"u{i}" for i in range(900)]
+
+    def changed(words, n):
+        w = list(words)
+        for _ in range(n):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        return w
+
+    def differing(a, b):
+        x, y = (nearcopies.fingerprint(nearcopies.shingle_set(" ".join(w))) for w in (a, b))
+        return ((x ^ y) & (1 << 64) - 1).bit_count()
+
+    base = [rng.choice(vocab) for _ in range(600)]
+    texts = {1: base} | {k: w for k in range(2, 30) if differing(base, w := changed(base, 1)) <= 4}
+    # fingerprints within 4 bits, similarity below 0.8: no link
+    while True:
+        one = [rng.choice(vocab) for _ in range(100)]
+        two = changed(one, 3)
+        a, b = ({tuple(w[k : k + 5]) for k in range(96)} for w in (one, two))
+        if differing(one, two) <= 4 and len(a & b) < 0.8 * len(a | b):
+            break
+    texts = {k: " ".join(w) for k, w in (texts | {50: one, 51: two}).items()}
+    assert len(texts) > 15
+
+    def none(batches):
+        for _ in batches:
+            pass
+        return iter(())
+
+    monkeypatch.setattr(nearcopies, "_shared", none)
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()}
+    assert got == {k: k if k >= 50 else 1 for k in texts}
