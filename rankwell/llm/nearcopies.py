@@ -11,8 +11,11 @@ only loss.
 In a band's bucket every node is first compared with the same three nodes of it, work linear in the members, which connects
 most groups; then, in buckets whose nodes are not yet all connected, every two nodes of different components, by longer
 sketches made for these nodes alone. So what is left out is connected already.
-Sketches are compared within a task, a large bucket in blocks spread over many tasks; only pairs that are close go on to the
-exact comparison, so a group of texts somewhat below the similarity makes few rows.
+Sketches are compared within a task, a large bucket in blocks spread over many tasks, and only what connects the close ones
+leaves it: at most one pair for each component. Clusters of components that are so connected, with all their nodes of such
+buckets, are compared by exact similarity in the same manner, each with its shingles. So every two nodes of different
+components with close sketches are compared exactly, and no group of texts makes more rows than it has members in each bucket
+or two blocks.
 
 Defined results: a null or wordless text has no shingle, and such texts are copies of each other; a text with fewer words
 than a shingle has its word sequence as the one shingle; repeated rows of an id connect by each of their texts; a row with
@@ -25,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +45,8 @@ BANDS, ROWS = 24, 4
 SKETCH, FAR = 128, 30
 #: The same for longer sketches: 102 differing bits are expected at similarity 0.8, over 155 with a probability below 0.0000001.
 WIDE, WIDE_FAR = 1024, 155
-#: Texts of a batch that goes back to Spark; nodes of a block of a large bucket, and those compared with another block at once.
-BATCH, BLOCK, AT_ONCE = 256, 2048, 64
+#: Texts of a batch that goes back to Spark; nodes of a block of a large bucket or cluster, and shingles of one of a cluster.
+BATCH, BLOCK, SHINGLES = 256, 2048, 1 << 20
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, WIDE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -123,50 +127,98 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text with a shingle its number of shingles and the longer sketch, as one list."""
     sole("nearcopies")
     for b in batches:
         for at in range(0, len(b), BATCH):
             sets = [s for x in b.column("text").slice(at, BATCH) if len(s := shingle_set(x.as_py()))]
             if sets:
                 keys = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists([sketch(minima(s, WIDE)) for s in sets])], ["key", "wide"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists([np.append(len(s), sketch(minima(s, WIDE))) for s in sets])], ["key", "wide"])
         give_back()
 
 
-def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by group the pairs of nodes with close sketches, in different components, of sizes near enough: one of side 0 or 2 with one of side 1 or 2."""
-    kinds = {"group": np.int64, "side": np.int32, "num": np.int64, "component": np.int64, "n": np.int64}
-    held, wide = {c: np.empty(0, t) for c, t in kinds.items()}, np.empty((0, WIDE // 64), np.int64)
-
-    def pairs(rows: dict[str, np.ndarray], wide: np.ndarray) -> Iterator[pa.RecordBatch]:
-        one, two = np.flatnonzero(rows["side"] != 1), np.flatnonzero(rows["side"] != 0)
-        for k in range(0, len(one), AT_ONCE):
-            x, y = one[k : k + AT_ONCE, None], two[None, :]
-            small, large = np.minimum(rows["n"][x], rows["n"][y]), np.maximum(rows["n"][x], rows["n"][y])
-            may = (rows["component"][x] != rows["component"][y]) & (small * LEAST[1] >= large * LEAST[0]) & ((rows["side"][x] != 2) | (rows["num"][x] < rows["num"][y]))
-            i, j = np.nonzero(may)
-            i, j = one[k : k + AT_ONCE][i], two[j]
-            near = np.zeros(len(i), dtype=np.int64)
-            for w in range(wide.shape[1]):
-                near += np.bitwise_count(wide[i, w].view(np.uint64) ^ wide[j, w].view(np.uint64))
-            hit = near <= WIDE_FAR
-            if hit.any():
-                a, b = rows["num"][i[hit]], rows["num"][j[hit]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def groups(rows: dict[str, np.ndarray], wide: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edges = [0, *(np.flatnonzero(np.diff(rows["group"])) + 1).tolist(), len(wide)]
+def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Of rows sorted by group the columns of each group, with `size` the lengths of the lists in column `name`, and these lists end to end."""
+    held = {c: np.empty(0, np.int64) for c in ("group", "side", "component", "size")}
+    flat = np.empty(0, np.int64)
+
+    def split(rows: dict[str, np.ndarray], flat: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+        edges = [0, *(np.flatnonzero(np.diff(rows["group"])) + 1).tolist(), len(rows["group"])]
+        at = np.concatenate([[0], np.cumsum(rows["size"])])
         for s, e in zip(edges, edges[1:]):
-            yield from pairs({c: v[s:e] for c, v in rows.items()}, wide[s:e])
+            yield {c: v[s:e] for c, v in rows.items()}, flat[at[s] : at[e]]
 
     for b in batches:
-        held = {c: np.concatenate([v, b.column(c).to_numpy(zero_copy_only=False)]) for c, v in held.items()}
-        wide = np.concatenate([wide, b.column("wide").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE // 64)])
-        if len(wide) and (last := int(np.searchsorted(held["group"], held["group"][-1]))):  # the last group may go on
-            yield from groups({c: v[:last] for c, v in held.items()}, wide[:last])
-            held, wide = {c: v[last:] for c, v in held.items()}, wide[last:]
-    if len(wide):
-        yield from groups(held, wide)
+        lists = b.column(name)
+        new = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("group", "side", "component")} | {"size": pc.list_value_length(lists).to_numpy(zero_copy_only=False)}
+        held = {c: np.concatenate([v, new[c]]) for c, v in held.items()}
+        flat = np.concatenate([flat, lists.flatten().to_numpy(zero_copy_only=False)])
+        if len(held["group"]) and (last := int(np.searchsorted(held["group"], held["group"][-1]))):  # the last group may go on
+            at = int(held["size"][:last].sum())
+            yield from split({c: v[:last] for c, v in held.items()}, flat[:at])
+            held, flat = {c: v[last:] for c, v in held.items()}, flat[at:]
+    if len(held["group"]):
+        yield from split(held, flat)
+
+
+def _spanning(component: np.ndarray, side: np.ndarray, close: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of components, enough to connect what close rows of a group connect, at most one for each component but one.
+
+    Two sides are two blocks: what a block's own rows connect is found first and left to the group that has the block alone, then what rows of one connect with the other's.
+    """
+    label, a, b = component.copy(), [], []
+    for across in (False, True) if side[0] != 2 else (None,):
+        for x in range(len(label) - 1):
+            y = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
+            if across is not None:
+                y = y[(side[y] != side[x]) == across]
+            if not len(y) or not len(y := y[close(x, y)]):
+                continue
+            found, at = np.unique(label[y], return_index=True)
+            if across is not False:
+                a.append(np.full(len(at), component[x]))
+                b.append(component[y[at]])
+            label[np.isin(label, found)] = label[x]
+            if (label == label[x]).all():
+                break
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def _close_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by group what connects the components of those with close sketches and sizes near enough."""
+    for rows, flat in _groups((b for b in batches if len(b)), "wide"):
+        table = flat.reshape(len(rows["size"]), -1)
+        n, wide = table[:, 0], table.view(np.uint64)[:, 1:]
+
+        def close(x: int, y: np.ndarray) -> np.ndarray:
+            may = np.minimum(n[x], n[y]) * LEAST[1] >= np.maximum(n[x], n[y]) * LEAST[0]
+            may[may] = np.bitwise_count(wide[y[may]] ^ wide[x]).sum(axis=1, dtype=np.int64) <= WIDE_FAR
+            return may
+
+        yield from _spanning(rows["component"], rows["side"], close)
+
+
+def _true_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by group what connects the components of those whose exact similarity is enough."""
+    for rows, flat in _groups((b for b in batches if len(b)), "own"):
+        n, ids = rows["size"], np.unique(flat, return_inverse=True)[1]
+        starts, mark = np.cumsum(n) - n, np.zeros(int(ids.max()) + 1, np.int8)
+
+        def alike(x: int, y: np.ndarray) -> np.ndarray:
+            may = np.minimum(n[x], n[y]) * LEAST[1] >= np.maximum(n[x], n[y]) * LEAST[0]
+            if len(y := y[may]):
+                own = ids[starts[x] : starts[x] + n[x]]
+                mark[own] = 1
+                first = np.cumsum(n[y]) - n[y]
+                at = np.arange(n[y].sum()) + np.repeat(starts[y] - first, n[y])
+                common = np.add.reduceat(mark[ids[at]], first, dtype=np.int64)
+                mark[own] = 0
+                may[may] = common * LEAST[1] >= (n[x] + n[y] - common) * LEAST[0]
+            return may
+
+        yield from _spanning(rows["component"], rows["side"], alike)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +290,15 @@ def _apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
+def _in_blocks(members: DataFrame, by: str) -> DataFrame:
+    """Rows (group, side, num, component): a member meets every block of what it shares `by` with once; within its own block it stands on both sides (2)."""
+    own = F.pmod(F.xxhash64("num"), F.col("blocks"))
+    dealt = members.select(by, "num", "component", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long")
+    group = F.xxhash64(by, F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(group.alias("group"), side.alias("side"), "num", "component")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, component_id): the smallest id that links reach."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -270,16 +331,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     mixed = cut(placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo != hi").select("band", F.ceil(F.col("m") / BLOCK).alias("blocks")))
     placed = cut(placed.join(mixed, "band").join(nodes.select("num", "key"), "num"))
     wide = _of_nodes(cut(placed.select("num", "key").distinct().join(nodes.select("num", "node"), "num")), d, _wide, "wide")
-    # a node meets every block of its bucket once; within its own block it stands on both sides
-    own = F.pmod(F.xxhash64("num"), F.col("blocks"))
-    dealt = placed.select("band", "num", "component", F.col("n").cast("long").alias("n"), own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int")
-    group = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(group.alias("group"), side.alias("side"), "num", "component", "n").join(wide, "num")
-    rest = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_close_pairs, "a long, b long").distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        reached = components(links.unionByName(_verified(rest, nodes, d)))
+    dealt = _in_blocks(placed, "band").join(wide, "num").select("group", "side", "component", "wide")
+    close = cut(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_close_links, "a long, b long").distinct())
+    if not close.isEmpty():
+        # every two members of components that close sketches connect, by their exact similarity
+        clusters = components(close).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+        members = cut(placed.select("num", "component", "n").distinct().join(clusters, "component"))
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks")
+        members = members.join(members.groupBy("cluster").agg(blocks), "cluster")
+        sets = _of_nodes(cut(members.select("num").join(nodes.select("num", "node", "key"), "num")), d, _sets, "own")
+        dealt = _in_blocks(members, "cluster").join(sets, "num").select("group", "side", "component", "own")
+        true = cut(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_true_links, "a long, b long"))
+        reached = components(links.unionByName(true))
     placed = nodes.select("num", "key", "node").join(reached.withColumnRenamed("node", "num"), "num", "left").withColumn("component", F.coalesce("component", "num"))
     least = placed.groupBy("component").agg(F.min("node").alias("component_id"))
     label = cut(placed.join(least, "component").select("key", "component_id"))
