@@ -32,8 +32,10 @@ from rankwell.llm.common import cut, new_path
 FILE_BYTES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 128 << 20, 8 << 20, 256 << 10, 1000
 #: Files whose sums are added up in one window.
 GROUPED = 4096
-#: Words, and other chunks, whose ids a worker keeps, at most twice these numbers. Words have to outlast a slice of chunked.TOGETHER bytes, which may hold 50,000 distinct ones.
-WORDS, CHUNKS = 60_000, 30_000
+#: Bytes of text that are taken apart together.
+SLICE = 4 << 20
+#: Words, and other chunks, whose ids a worker keeps, at most twice these numbers, of about 200 bytes each. Words have to outlast several slices, each of which may hold 80,000 distinct ones.
+WORDS, CHUNKS = 150_000, 30_000
 SCHEMA = "doc_id long, part int, row int, n_tokens int, ids array<int>"
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_1_0"},
@@ -83,7 +85,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int, id_col: str = "doc_
         enc, row, end = encoder(path), 0, array("i", [end_id]).tobytes()
         for b in batches:
             at = 0
-            for texts in parts(b.column("text")):
+            for texts in parts(b.column("text"), SLICE):
                 lists, n = enc.encode_all(texts, end), len(texts)
                 ids, place = b.column("doc_id").slice(at, n), b.column("part").slice(at, n)
                 rows = pa.array(np.arange(row, row + n, dtype=np.int32))
